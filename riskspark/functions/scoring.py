@@ -7,24 +7,21 @@ from riskspark.constants import LOWEST_TIER, POLICY_TIERS
 from riskspark.functions.values import clip, truthy
 
 
-def _zero(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+RULE_SCORE = """
+least(1.0D, greatest(0.0D,
+    greatest(0.0D, 760.0D - coalesce(nullif(cast(credit_score AS double), 0.0D), 760.0D)) / 300.0D
+    + least(1.0D, coalesce(prior_loss_frequency, 0.0D) * 0.35D)
+    + least(1.0D, coalesce(prior_loss_severity_avg, 0.0D) / 20000.0D * 0.35D)
+    + least(1.0D, coalesce(cast(insurance_lapse_days AS double), 0.0D) / 120.0D * 0.20D)
+    + least(1.0D, coalesce(violation_severity_index, 0.0D) / 5.0D * 0.18D)
+    + if(telematics_enrolled AND telematics_distraction_score IS NULL, 0.12D, 0.0D)
+    + if(vehicle_power > 220.0D, 0.08D, 0.0D)))
+"""
 
 
 def rule_risk_score() -> Column:
     """Issuance risk from the quote columns. A missing or zero credit score counts as 760."""
-    credit = F.coalesce(truthy(F.col("credit_score").cast("double"), 0.0), F.lit(760.0))
-    unmonitored = F.col("telematics_enrolled") & F.col("telematics_distraction_score").isNull()
-    total = (
-        F.greatest(F.lit(0.0), F.lit(760.0) - credit) / 300.0
-        + F.least(F.lit(1.0), _zero("prior_loss_frequency") * 0.35)
-        + F.least(F.lit(1.0), _zero("prior_loss_severity_avg") / 20000.0 * 0.35)
-        + F.least(F.lit(1.0), _zero("insurance_lapse_days") / 120.0 * 0.20)
-        + F.least(F.lit(1.0), _zero("violation_severity_index") / 5.0 * 0.18)
-        + F.when(unmonitored, 0.12).otherwise(0.0)
-        + F.when(F.col("vehicle_power") > 220, 0.08).otherwise(0.0)
-    )
-    return clip(total, 0.0, 1.0)
+    return F.expr(RULE_SCORE)
 
 
 def policy_tier(score: Column) -> Column:

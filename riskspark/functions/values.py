@@ -39,3 +39,10 @@ def nan_to_null(df: DataFrame) -> DataFrame:
         return column
 
     return df.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows that have both values; null when either is constant there."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))

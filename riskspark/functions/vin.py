@@ -1,7 +1,5 @@
 """Surrogate VINs and their decoding."""
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ def surrogate_vin(quote_id: Column, power: Column, msrp: Column) -> Column:
 
 
 def _decode(vin: Column, position: int, table: dict, default) -> Column:
-    lookup = F.create_map(*[F.lit(item) for item in chain.from_iterable(table.items())])
+    lookup = F.expr(f"map({', '.join(f'{key!r}, {value!r}' for key, value in table.items())})")
     return F.coalesce(lookup[F.upper(F.substring(vin, position, 1))], F.lit(default))
 
 

@@ -4,6 +4,8 @@ Nothing here joins claims to claims. Shared attributes are counted per entity, s
 attorney behind a third of all claims costs one row after the map-side combine.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +22,13 @@ def claimant_id():
     return F.concat(F.lit("claimant_"), F.col("claim_id"))
 
 
-def resolve_graph_input(claims: DataFrame, vehicles: DataFrame) -> DataFrame:
+def resolve_graph_input(claims: DataFrame, vehicles: DataFrame, unique_claims: bool = False) -> DataFrame:
     """One row per claim with everything the graph needs.
 
     ``claims`` carries ``claim_id, quote_id, is_fraud, state, attorney_id`` and, where known, raw
-    contact values. An upsert by claim id: of several rows the greatest stands. Contact values pass
-    the same normalisers as the entity tables, so the graph and those tables agree.
+    contact values. An upsert by claim id: of several rows the greatest stands. A caller whose claims
+    are ``unique_claims`` already saves that shuffle. Contact values pass the same normalisers as
+    the entity tables, so the graph and those tables agree.
     """
     valid_phone = text.normalise_phone(F.col("phone_raw"))
     address = text.normalise_address(
@@ -37,6 +40,8 @@ def resolve_graph_input(claims: DataFrame, vehicles: DataFrame) -> DataFrame:
         F.when(F.col("address_line1_raw").isNotNull(), address).alias("address"),
     )
     attached = rows.join(vehicles.select("quote_id", "vin", "make", "model", "year"), "quote_id", "left")
+    if unique_claims:
+        return attached
     fields = [c for c in attached.columns if c != "claim_id"]
     latest = attached.groupBy("claim_id").agg(F.max(F.struct(*fields)).alias("row"))
     return latest.select("claim_id", "row.*")
@@ -47,30 +52,37 @@ def claims_without_vehicle(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("vin").isNull()).select("claim_id", "quote_id")
 
 
-def _node(label: str, node_id, **attributes):
+def _nodes(rows: DataFrame, label: str, node_id, **attributes) -> DataFrame:
     values = {"node_id": node_id, "label": F.lit(label), **attributes}
-    return F.struct(*[values.get(c, F.lit(None)).cast(NODE_TYPES.get(c, "string")).alias(c) for c in NODE_COLUMNS])
+    return rows.select(*[
+        values.get(c, F.lit(None)).cast(NODE_TYPES.get(c, "string")).alias(c) for c in NODE_COLUMNS
+    ])
 
 
 def graph_nodes(rows: DataFrame) -> DataFrame:
-    """Node table. Claim and Claimant nodes are unique already; only shared nodes are deduplicated."""
+    """Node table. Claim and Claimant nodes are unique already; only shared nodes are deduplicated.
+
+    One branch per label: a filter on the label drops the other branches from the plan.
+    """
     fraud = F.col("is_fraud")
-    own = F.array(
-        _node("Claim", F.col("claim_id"), is_fraud=fraud, state=F.col("state")),
-        _node("Claimant", claimant_id(), is_fraud=fraud),
-    )
-    shared = [
-        _node("Attorney", F.col("attorney_id")),
-        _node("Vehicle", F.col("vin"), make=F.col("make"), model=F.col("model"), year=F.col("year")),
+    branches = [
+        _nodes(rows, "Claim", F.col("claim_id"), is_fraud=fraud, state=F.col("state")),
+        _nodes(rows, "Claimant", claimant_id(), is_fraud=fraud),
+    ]
+    # The attributes of a shared node are functions of its id, so a distinct does it: a hash
+    # aggregate that combines map-side, however many claims share the node.
+    attorneys = rows.select("attorney_id").where(F.col("attorney_id").isNotNull()).distinct()
+    cars = rows.select("vin", "make", "model", "year").where(F.col("vin").isNotNull()).distinct()
+    branches += [
+        _nodes(attorneys, "Attorney", F.col("attorney_id")),
+        _nodes(cars, "Vehicle", F.col("vin"), make=F.col("make"), model=F.col("model"), year=F.col("year")),
     ]
     for attr in ("phone", "address"):
-        value = F.col(attr)
-        entity = F.when(value.isNotNull(), text.entity_id(attr, value))
-        shared.append(_node("Entity", entity, attr_type=F.lit(attr), attr_value=value))
-    linked = rows.select(F.inline(F.array(*shared))).where(F.col("node_id").isNotNull())
-    # Every attribute is a function of the id, so a distinct does it: a hash aggregate that
-    # combines map-side, however many claims share a node.
-    return rows.select(F.inline(own)).unionByName(linked.distinct())
+        values = rows.select(attr).where(F.col(attr).isNotNull()).distinct()
+        branches.append(_nodes(
+            values, "Entity", text.entity_id(attr, F.col(attr)), attr_type=F.lit(attr), attr_value=F.col(attr)
+        ))
+    return reduce(DataFrame.unionAll, branches)
 
 
 def graph_edges(rows: DataFrame) -> DataFrame:
@@ -129,16 +141,15 @@ def shared_entities(edges: DataFrame) -> DataFrame:
 
 def load_report(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Claims, entities, share edges and entities behind more than one claim, as one row."""
-    claims = rows.agg(F.count(F.lit(1)))
-    entities = nodes.where(F.col("label") == "Entity").agg(F.count(F.lit(1)))
-    per_entity = entity_claims(edges)
-    return edges.agg(
-        F.count_if(F.col("rel_type") == "SHARES").alias("share_edges"),
-        F.count_if((F.col("rel_type") == "SHARES") & ~F.col("src").startswith("claimant_")).alias("claim_share_edges"),
-    ).withColumns({
-        "claims": claims.scalar(),
-        "entities": entities.scalar(),
-        "entities_shared": per_entity.agg(F.count_if(F.col("n_claims") > 1)).scalar(),
+    shares = F.col("rel_type") == "SHARES"
+    report = edges.agg(
+        F.count_if(shares).alias("share_edges"),
+        F.count_if(shares & ~F.col("src").startswith("claimant_")).alias("claim_share_edges"),
+    )
+    return report.withColumns({
+        "claims": rows.agg(F.count(F.lit(1))).scalar(),
+        "entities": nodes.where(F.col("label") == "Entity").agg(F.count(F.lit(1))).scalar(),
+        "entities_shared": entity_claims(edges).agg(F.count_if(F.col("n_claims") > 1)).scalar(),
     })
 
 

@@ -13,6 +13,12 @@ def _flag(label: str) -> Column:
     return F.col(label).cast("int")
 
 
+def beside(one_row: DataFrame, other: DataFrame) -> DataFrame:
+    """Two one-row tables as one row. ``other`` is one subquery, however many columns it has."""
+    values = other.select(F.struct(*other.columns)).scalar()
+    return one_row.withColumns({c: values[c] for c in other.columns})
+
+
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     """Class counts of the whole table and the weight that balances them."""
     positives, negatives = F.count_if(_flag(label) == 1), F.count_if(_flag(label) == 0)
@@ -112,11 +118,12 @@ def score_distribution(df: DataFrame, exact: bool = True) -> DataFrame:
     """Mean, median and 95th percentile of the risk score, mean probability and mean cost."""
     wanted = {"risk_score_p50": 0.5, "risk_score_p95": 0.95}
     quantiles = (exact_quantiles if exact else approximate_quantiles)(df, "risk_score", wanted)
-    return df.agg(
+    means = df.agg(
         F.avg("risk_score").alias("risk_score_mean"),
         F.avg("p_claim").alias("p_claim_mean"),
         F.avg("e_cost_usd").alias("e_cost_mean_usd"),
-    ).withColumns({name: quantiles.select(name).scalar() for name in wanted})
+    )
+    return beside(means, quantiles)
 
 
 def importance_share(gains: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """Frequency × severity risk model on Spark ML: train, calibrate, score, explain, evaluate."""
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -101,14 +100,12 @@ def train_frequency(quotes: DataFrame, **boosting) -> Fitted:
     model = Pipeline(stages=stages).fit(train)
     gains = dict(zip(TREE_COLUMNS, model.stages[-1].featureImportances.toArray().tolist()))
     scored = materialise(predict_probability(model, holdout).select("p", FREQUENCY_TARGET), "frequency-holdout")
-    ranking = metrics.auc_gini(scored, FREQUENCY_TARGET, "p")
-    report = metrics.log_loss(scored, FREQUENCY_TARGET, "p").withColumns({
-        "auc": ranking.select("auc").scalar(),
-        "gini": ranking.select("gini").scalar(),
-        **{c: balance.select(c).scalar() for c in balance.columns},
-        "train_rows": train.agg(F.count(F.lit(1))).scalar(),
-        "train_positives": train.agg(F.count_if(F.col(FREQUENCY_TARGET) == 1)).scalar(),
-    })
+    fitted_on = train.agg(
+        F.count(F.lit(1)).alias("train_rows"), F.count_if(F.col(FREQUENCY_TARGET) == 1).alias("train_positives")
+    )
+    report = metrics.log_loss(scored, FREQUENCY_TARGET, "p")
+    for part in (metrics.auc_gini(scored, FREQUENCY_TARGET, "p"), balance, fitted_on):
+        report = metrics.beside(report, part)
     return Fitted(model, report, _importance(spark, gains))
 
 
@@ -146,11 +143,11 @@ def train_severity(quotes: DataFrame, claims: DataFrame, max_iter: int = 25) ->
     sizes = [abs(v) for v in model.stages[-1].coefficients.toArray().tolist()]
     gains = {name.removesuffix("_filled"): size for name, size in zip(LINEAR_COLUMNS, sizes)}
     scored = predict_cost(model, holdout)
-    report = metrics.severity_errors(scored, SEVERITY_TARGET, "e_cost").withColumns({
-        "total_rows": rows.agg(F.count(F.lit(1))).scalar(),
-        "train_rows": train.agg(F.count(F.lit(1))).scalar(),
-        "target_mean_usd": rows.agg(F.avg(SEVERITY_TARGET)).scalar(),
-    })
+    sizes = rows.agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(in_training(F.col("quote_id"))).alias("train_rows"),
+        F.avg(SEVERITY_TARGET).alias("target_mean_usd"),
+    )
+    report = metrics.beside(metrics.severity_errors(scored, SEVERITY_TARGET, "e_cost"), sizes)
     return Fitted(model, report, _importance(spark, gains))
 
 
@@ -252,11 +249,11 @@ def evaluate(model: HurdleModel, quotes: DataFrame) -> DataFrame:
     label = F.col(FREQUENCY_TARGET).cast("int").alias(FREQUENCY_TARGET)
     scored = materialise(model.score(quotes, ("quote_id", label)), "hurdle")
     _, holdout = split(scored)
-    return metrics.score_distribution(scored).withColumns({
-        "hurdle_gini": metrics.auc_gini(holdout, FREQUENCY_TARGET, "risk_score").select("gini").scalar(),
-        "hurdle_gini_all_rows": metrics.auc_gini(scored, FREQUENCY_TARGET, "risk_score").select("gini").scalar(),
-        "calibration_applied": F.lit(model.calibration.applied),
-    })
+    report = metrics.score_distribution(scored)
+    for name, part in (("hurdle_gini", holdout), ("hurdle_gini_all_rows", scored)):
+        gini = metrics.auc_gini(part, FREQUENCY_TARGET, "risk_score").select(F.col("gini").alias(name))
+        report = metrics.beside(report, gini)
+    return report.withColumn("calibration_applied", F.lit(model.calibration.applied))
 
 
 @dataclass
@@ -288,19 +285,17 @@ def reason_codes(rows: DataFrame, given: ReasonWeights, top_n: int = 5) -> DataF
 
     For a logistic model with independent features ``w (x - mean)`` is the exact Shapley value.
     """
-    parts = {
-        name: F.coalesce(F.lit(given.weights[name]) * (F.col(name) - given.means[name]), F.lit(0.0))
-        for name in given.weights
-    }
-    total = reduce(lambda a, b: a + b, [F.abs(c) for c in parts.values()])
-    scale = F.when(total == 0, F.lit(1.0)).otherwise(total)
+    names = list(given.weights)
+    contributions = F.array(*[
+        F.coalesce(F.lit(given.weights[name]) * (F.col(name) - float(given.means[name])), F.lit(0.0)) for name in names
+    ])
+    labels = F.array(*[F.lit(name) for name in names])
+    total = F.aggregate("_parts", F.lit(0.0), lambda sum_, part: sum_ + F.abs(part))
+    staged = rows.withColumn("_parts", contributions).withColumn("_total", F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)))
     # Sort keys ascending: the negated size first, then the feature's place in the model.
-    codes = F.array_sort(F.array(*[
-        F.struct(
-            (-F.abs(c)).alias("order"), F.lit(i).alias("place"), F.lit(name).alias("feature"),
-            c.alias("contribution"), F.round(c / scale * 100.0, 1).alias("pct"),
-        )
-        for i, (name, c) in enumerate(parts.items())
-    ]))
+    codes = F.array_sort(F.transform("_parts", lambda part, place: F.struct(
+        (-F.abs(part)).alias("order"), place.alias("place"), labels[place].alias("feature"),
+        part.alias("contribution"), F.round(part / F.col("_total") * 100.0, 1).alias("pct"),
+    )))
     trimmed = F.transform(F.slice(codes, 1, top_n), lambda code: code.dropFields("order", "place"))
-    return rows.withColumn("reason_codes", trimmed)
+    return staged.withColumn("reason_codes", trimmed).drop("_parts", "_total")

@@ -15,6 +15,7 @@ from riskspark.constants import (
     CREDIT_RESTRICTED_STATES, FEATURE_STORE_VERSION, FRAUD_CORRELATION_SIGNS, FRAUD_SIGNAL_DIRECTIONS,
     HOP_SENTINEL, TELEMATICS_SIGNALS, US_STATES,
 )
+from riskspark.functions.values import correlation
 
 EXAMPLES = 5
 CHECK_COLUMNS = ["check_id", "dataset", "status", "observed", "threshold", "n_bad", "examples"]
@@ -250,7 +251,7 @@ def check_fraud_signals(claims: DataFrame) -> DataFrame:
             continue
         value = _as_number(claims, name)
         pairs = F.count_if(value.isNotNull() & label.isNotNull())
-        r = F.nanvl(F.corr(value, label), F.lit(None).cast("double"))
+        r = correlation(value, label)
         rules.append(Rule(
             f"V25_{name}", threshold, observed=F.when(pairs >= 10, r),
             # Too weak to call comes before the sign test.

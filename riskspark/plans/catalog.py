@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskspark.constants import MAX_HOPS, MODEL_FEATURES, TELEMATICS_SIGNALS
 from riskspark.functions.scoring import policy_tier, rule_risk_score
+from riskspark.functions.values import correlation
 from riskspark.operators import entities, features, graph, metrics, models, monitor, ordered, quality, serving
 from riskspark.plans import oracle as sql
 from riskspark.session import materialise, scratch_path
@@ -184,8 +185,9 @@ def policy_claim_check(spark, sf):
 # Graph -------------------------------------------------------------------------------------------
 
 def _graph_rows(spark, sf) -> DataFrame:
-    vehicles = entities.vehicles(fx.quotes(spark, sf))
-    return graph.resolve_graph_input(fx.graph_claims(spark, sf), vehicles)
+    quotes = materialise(fx.quotes(spark, sf), "quotes")
+    # The fixture groups line items by claim, so claim ids are unique already.
+    return graph.resolve_graph_input(fx.graph_claims(spark, sf, quotes), entities.vehicles(quotes), unique_claims=True)
 
 
 def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -308,10 +310,10 @@ def profile_quotes(spark, sf):
 def profile_claims(spark, sf):
     claims, loss = fx.claim_lines(spark, sf), F.col("incurred_loss_usd")
     spread = ordered.exact_quantiles(claims, "incurred_loss_usd", {"loss_p50": 0.5, "loss_p95": 0.95})
-    one = claims.agg(
+    one = metrics.beside(claims.agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("is_fraud").cast("int")).alias("fraud_rate"), F.avg(loss).alias("loss_mean"),
         F.avg(F.when(F.col("is_fraud"), loss)).alias("loss_fraud"), F.avg(F.when(~F.col("is_fraud"), loss)).alias("loss_legit"),
-    ).withColumns({c: spread.select(c).scalar() for c in spread.columns})
+    ), spread)
     return rounded(rounded(one, "fraud_rate"), "loss_mean", "loss_p50", "loss_p95", "loss_fraud", "loss_legit", places=4)
 
 
@@ -475,7 +477,8 @@ def log_loss(spark, sf):
 
 @query(f"SELECT round(a, 6) AS auc, round(2 * a - 1, 6) AS gini FROM (SELECT {sql.auc('scored', 'claim_occurred', 'p')} AS a)", "scored")
 def auc_gini(spark, sf):
-    return rounded(metrics.auc_gini(_scored(spark, sf), "claim_occurred", "p"), "auc", "gini")
+    scored = materialise(_scored(spark, sf).select("p", "claim_occurred"), "scored")
+    return rounded(metrics.auc_gini(scored, "claim_occurred", "p"), "auc", "gini")
 
 
 @query("""SELECT count(*) FILTER (WHERE claim_occurred) AS total_positives, count(*) FILTER (WHERE NOT claim_occurred) AS total_negatives,
@@ -525,7 +528,7 @@ def hurdle_score_given_params(spark, sf):
 @query("""SELECT round(avg(risk_score), 4) AS risk_score_mean, round(quantile_cont(risk_score, 0.5), 4) AS risk_score_p50,
  round(quantile_cont(risk_score, 0.95), 4) AS risk_score_p95, round(avg(p_claim), 6) AS p_claim_mean, round(avg(e_cost_usd), 4) AS e_cost_mean_usd FROM hurdle""", "hurdle")
 def risk_distribution(spark, sf):
-    found = metrics.score_distribution(_hurdle(spark, sf))
+    found = metrics.score_distribution(materialise(_hurdle(spark, sf), "hurdle"))
     return rounded(rounded(found, *[c for c in found.columns if c != "p_claim_mean"], places=4), "p_claim_mean")
 
 
@@ -540,14 +543,11 @@ def metric_rows(spark, sf):
 
 def _gains(rows: DataFrame, label: str) -> DataFrame:
     """A gain per feature from the data itself: the size of its correlation with the label."""
-    cells = F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.coalesce(F.nanvl(F.abs(F.corr(F.col(c), F.col(label).cast("double"))), F.lit(0.0)), F.lit(0.0)).alias("gain"),
-        )
-        for c in MODEL_FEATURES
-    ])
-    return rows.agg(cells.alias("cells")).select(F.inline("cells"))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in MODEL_FEATURES])
+    long = rows.select(F.col(label).cast("double").alias("y"), F.inline(cells))
+    return long.groupBy("feature").agg(
+        F.coalesce(F.abs(correlation(F.col("value"), F.col("y"))), F.lit(0.0)).alias("gain")
+    )
 
 
 def _gains_sql(where: str = "true") -> str:
@@ -750,7 +750,8 @@ def collision_rate(spark, sf):
 @query(f"""SELECT round(2 * a - 1, 6) AS champion_gini, round(2 * b - 1, 6) AS challenger_gini, (2 * b - 1) - (2 * a - 1) >= 0.02 AS promote
  FROM (SELECT {sql.auc('quotes', 'claim_occurred', 'risk_score_at_issuance')} AS a, {sql.auc('quotes', 'claim_occurred', 'violation_severity_index')} AS b)""", "quotes")
 def champion_gate(spark, sf):
-    quotes = fx.quotes(spark, sf)
+    quotes = fx.quotes(spark, sf).select("claim_occurred", "risk_score_at_issuance", "violation_severity_index")
+    quotes = materialise(quotes, "scored")
     found = monitor.champion_gate(quotes, "claim_occurred", "risk_score_at_issuance", "violation_severity_index")
     return rounded(found, "champion_gini", "challenger_gini")
 
@@ -762,7 +763,7 @@ def _share_sql(where: str) -> str:
 @query(f"""SELECT b.feature, b.pct AS before_pct, a.pct AS after_pct, round(a.pct - b.pct, 2) AS change_pct
  FROM ({_share_sql('telematics_enrolled = 0')}) b JOIN ({_share_sql('telematics_enrolled = 1')}) a ON a.feature = b.feature""", "model_rows")
 def importance_drift(spark, sf):
-    rows = _frequency_rows(spark, sf)
+    rows = materialise(_frequency_rows(spark, sf), "model-rows")
     shares = [
         metrics.importance_share(_gains(rows.where(F.col("telematics_enrolled") == flag), "claim_occurred")) for flag in (0, 1)
     ]
@@ -809,9 +810,8 @@ def new_categories(spark, sf):
 # Streaming ---------------------------------------------------------------------------------------
 
 def _order_stream(spark, sf) -> DataFrame:
-    path = f"{sf}/orders.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path.replace("orders.parquet", "orders*.parquet"))
+    # A file source wants a folder or a pattern.
+    return spark.readStream.schema(fx.SCHEMAS["orders"]).parquet(f"{sf}/orders*.parquet")
 
 
 def _drain(spark, stream: DataFrame) -> DataFrame:

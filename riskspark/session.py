@@ -15,7 +15,8 @@ def build(app: str = "riskspark", master: str | None = None, **conf) -> SparkSes
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Splitting a skewed join may cost one more exchange; a straggler costs more.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        "spark.sql.parquet.filterPushdown": "true",
+        # Call sites are looked up per column expression: a cost when plans are built in code.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.appName(app)

@@ -61,7 +61,8 @@ def read_snapshots_json(spark: SparkSession, path: str, record_type: str) -> Dat
 
 
 ONLINE = "key string, features string, updated_at timestamp, expires_at timestamp, deleted boolean"
-BUCKETS = 256
+# Folders per batch of the serving table: a point read opens one of them.
+BUCKETS = 64
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
