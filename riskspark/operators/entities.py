@@ -12,8 +12,8 @@ from riskspark.functions import text, vin
 from riskspark.functions.values import optional
 
 
-def vehicles(quotes: DataFrame) -> DataFrame:
-    """One vehicle per quote, decoded from its surrogate VIN."""
+def vehicles(quotes: DataFrame, *also: str) -> DataFrame:
+    """One vehicle per quote, decoded from its surrogate VIN. ``also`` names quote columns to carry along."""
     code = vin.surrogate_vin(F.col("quote_id"), F.col("vehicle_power"), F.col("vehicle_msrp"))
     number = F.col("vin")
     return quotes.withColumn("vin", code).select(
@@ -28,6 +28,7 @@ def vehicles(quotes: DataFrame) -> DataFrame:
         F.col("vehicle_power").cast("double").alias("horsepower"),
         F.col("vehicle_adas_score").cast("double").alias("adas_score"),
         F.col("vehicle_age_years").cast("int").alias("vehicle_age_years"),
+        *also,
     )
 
 

@@ -15,6 +15,7 @@ from riskspark.operators.hops import hop_distances
 from riskspark.operators.joins import lookup_join
 
 NODE_COLUMNS = ["node_id", "label", "is_fraud", "state", "make", "model", "year", "attr_type", "attr_value"]
+VEHICLE_COLUMNS = ["vin", "make", "model", "year"]
 NODE_TYPES = {"is_fraud": "boolean", "year": "int"}
 
 
@@ -22,28 +23,30 @@ def claimant_id():
     return F.concat(F.lit("claimant_"), F.col("claim_id"))
 
 
-def resolve_graph_input(claims: DataFrame, vehicles: DataFrame, unique_claims: bool = False) -> DataFrame:
+def resolve_graph_input(claims: DataFrame, vehicles: DataFrame | None = None, unique_claims: bool = False) -> DataFrame:
     """One row per claim with everything the graph needs.
 
     ``claims`` carries ``claim_id, quote_id, is_fraud, state, attorney_id`` and, where known, raw
-    contact values. An upsert by claim id: of several rows the greatest stands. A caller whose claims
-    are ``unique_claims`` already saves that shuffle. Contact values pass the same normalisers as
-    the entity tables, so the graph and those tables agree.
+    contact values. Without ``vehicles`` it carries ``vin, make, model, year`` itself. An upsert by
+    claim id: of several rows the greatest stands. A caller whose claims are ``unique_claims``
+    already saves that shuffle. Contact values pass the same normalisers as the entity tables, so
+    the graph and those tables agree.
     """
-    valid_phone = text.normalise_phone(F.col("phone_raw"))
+    if vehicles is not None:
+        claims = claims.join(vehicles.select("quote_id", *VEHICLE_COLUMNS), "quote_id", "left")
     address = text.normalise_address(
         F.col("address_line1_raw"), F.col("city_raw"), F.col("contact_state"), F.col("zip_raw")
     )
-    rows = claims.select(
-        "claim_id", "quote_id", "is_fraud", "state", "attorney_id",
-        F.when(text.phone_is_valid(valid_phone), valid_phone).alias("phone"),
+    digits = F.col("_digits")
+    rows = claims.withColumn("_digits", text.normalise_phone(F.col("phone_raw"))).select(
+        "claim_id", "quote_id", "is_fraud", "state", "attorney_id", *VEHICLE_COLUMNS,
+        F.when(text.phone_is_valid(digits), digits).alias("phone"),
         F.when(F.col("address_line1_raw").isNotNull(), address).alias("address"),
     )
-    attached = rows.join(vehicles.select("quote_id", "vin", "make", "model", "year"), "quote_id", "left")
     if unique_claims:
-        return attached
-    fields = [c for c in attached.columns if c != "claim_id"]
-    latest = attached.groupBy("claim_id").agg(F.max(F.struct(*fields)).alias("row"))
+        return rows
+    fields = [c for c in rows.columns if c != "claim_id"]
+    latest = rows.groupBy("claim_id").agg(F.max(F.struct(*fields)).alias("row"))
     return latest.select("claim_id", "row.*")
 
 

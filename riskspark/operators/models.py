@@ -68,6 +68,13 @@ def severity_rows(quotes: DataFrame, claims: DataFrame) -> DataFrame:
     return claims.select("quote_id", F.col(SEVERITY_TARGET).cast("double")).join(model_features(quotes), "quote_id")
 
 
+def balanced(rows: DataFrame) -> DataFrame:
+    """Even partitions for the many passes of a fit, whatever the joins before left behind."""
+    return rows.repartition(max(
+        rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ))
+
+
 @dataclass
 class Fitted:
     """A fitted model with its metric row and its importance shares."""
@@ -86,7 +93,7 @@ def _importance(spark, gains: dict[str, float]) -> DataFrame:
 def train_frequency(quotes: DataFrame, **boosting) -> Fitted:
     """P(claim) by boosted trees with balancing weights; metrics come from the held-out part."""
     spark = quotes.sparkSession
-    rows = materialise(tree_inputs(frequency_rows(quotes)), "frequency")
+    rows = materialise(balanced(tree_inputs(frequency_rows(quotes))), "frequency")
     balance = metrics.class_balance(rows, FREQUENCY_TARGET)
     weight = F.when(F.col(FREQUENCY_TARGET) == 1, balance.select("scale_pos_weight").scalar()).otherwise(F.lit(1.0))
     train, holdout = split(rows.withColumn("weight", weight))
@@ -133,7 +140,7 @@ def _linear_stages() -> list:
 def train_severity(quotes: DataFrame, claims: DataFrame, max_iter: int = 25) -> Fitted:
     """E[cost | claim] by a gamma regression with log link; metrics come from the held-out part."""
     spark = quotes.sparkSession
-    rows = materialise(linear_inputs(severity_rows(quotes, claims)), "severity")
+    rows = materialise(balanced(linear_inputs(severity_rows(quotes, claims))), "severity")
     train, holdout = split(rows)
     regression = GeneralizedLinearRegression(
         family="gamma", link="log", featuresCol="scaled", labelCol=SEVERITY_TARGET, predictionCol="e_cost",
@@ -293,7 +300,7 @@ def reason_codes(rows: DataFrame, given: ReasonWeights, top_n: int = 5) -> DataF
     total = F.aggregate("_parts", F.lit(0.0), lambda sum_, part: sum_ + F.abs(part))
     staged = rows.withColumn("_parts", contributions).withColumn("_total", F.coalesce(F.nullif(total, F.lit(0.0)), F.lit(1.0)))
     # Sort keys ascending: the negated size first, then the feature's place in the model.
-    codes = F.array_sort(F.transform("_parts", lambda part, place: F.struct(
+    codes = F.sort_array(F.transform("_parts", lambda part, place: F.struct(
         (-F.abs(part)).alias("order"), place.alias("place"), labels[place].alias("feature"),
         part.alias("contribution"), F.round(part / F.col("_total") * 100.0, 1).alias("pct"),
     )))

@@ -90,7 +90,7 @@ def _examples(df: DataFrame, id_column: str, rules: list[Rule]) -> DataFrame:
     rows = df.select(F.col(id_column).cast("string").alias("id"), F.explode(broken).alias("check_id"))
     order = Window.partitionBy("check_id").orderBy("id")
     first = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= EXAMPLES)
-    return first.groupBy("check_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("examples"))
+    return first.groupBy("check_id").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("examples"))
 
 
 def failures(checks: DataFrame) -> DataFrame:

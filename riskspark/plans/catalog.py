@@ -185,9 +185,8 @@ def policy_claim_check(spark, sf):
 # Graph -------------------------------------------------------------------------------------------
 
 def _graph_rows(spark, sf) -> DataFrame:
-    quotes = materialise(fx.quotes(spark, sf), "quotes")
     # The fixture groups line items by claim, so claim ids are unique already.
-    return graph.resolve_graph_input(fx.graph_claims(spark, sf, quotes), entities.vehicles(quotes), unique_claims=True)
+    return graph.resolve_graph_input(fx.graph_claims(spark, sf), unique_claims=True)
 
 
 def _graph(spark, sf) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark.constants import TELEMATICS_SIGNALS, US_STATES
 from riskspark.functions.scoring import policy_tier, rule_risk_score
+from riskspark.operators.entities import vehicles
 from riskspark.operators.joins import lookup_join
 
 SCHEMAS = {
@@ -24,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parallel(df: DataFrame) -> DataFrame:
+    """Spread a table that one small file would leave to one task. Large tables stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def _quote_id(order_key: str) -> str:
     return f"concat('Q-', lpad(cast({order_key} AS string), 9, '0'))"
 
@@ -58,7 +65,7 @@ def quotes(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) ->
     if source.isStreaming:
         joined = source.join(profile, "c_custkey")
     else:
-        joined = lookup_join(source, profile, "c_custkey", "n_orders", F.col("o_orderkey"), "inner")
+        joined = lookup_join(parallel(source), profile, "c_custkey", "n_orders", F.col("o_orderkey"), "inner")
     base = joined.selectExpr(
         f"{_quote_id('o_orderkey')} AS quote_id",
         "c_custkey AS customer_key",
@@ -170,8 +177,9 @@ def claimants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_claims(spark: SparkSession, sf_dir: str, quote_rows: DataFrame | None = None) -> DataFrame:
-    """Claims with the attorney, vehicle key and, for every seventh customer, contact values."""
-    context = (quotes(spark, sf_dir) if quote_rows is None else quote_rows).select("quote_id", "state")
+    """Claims with the attorney, the vehicle and, for every seventh customer, contact values."""
+    rows = quotes(spark, sf_dir) if quote_rows is None else quote_rows
+    context = vehicles(rows, "state").select("quote_id", "state", "vin", "make", "model", "year")
     lines = claim_lines(spark, sf_dir).selectExpr(
         "claim_id", "quote_id", "is_fraud", "if(attorney_present, concat('attorney_', attorney_key), NULL) AS attorney_id"
     )
