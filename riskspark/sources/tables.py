@@ -1,5 +1,7 @@
 """Parquet tables: declared schemas in, whole-table overwrite out."""
 
+from urllib.parse import urlparse
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -31,5 +33,4 @@ def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> No
 
 
 def _covers(path: str, source: str) -> bool:
-    plain = source.split(":", 1)[1].replace("//", "/") if ":" in source else source
-    return plain.startswith(path.rstrip("/") + "/")
+    return urlparse(source).path.startswith(urlparse(path).path.rstrip("/") + "/")
