@@ -11,8 +11,9 @@ from riskspark.constants import MAX_HOPS, MODEL_FEATURES, TELEMATICS_SIGNALS
 from riskspark.functions.scoring import policy_tier, rule_risk_score
 from riskspark.functions.values import correlation
 from riskspark.operators import entities, features, graph, metrics, models, monitor, ordered, quality, serving
+from riskspark.operators.communities import label_communities
 from riskspark.plans import oracle as sql
-from riskspark.session import materialise, scratch_path
+from riskspark.session import materialise, scratch_path, tune
 from riskspark.sources import feature_store
 from riskspark.sources import fixture as fx
 from riskspark.streaming import bursts
@@ -34,7 +35,12 @@ def query(body: str | None = None, needs: str = "", name: str | None = None):
 
     def register(build):
         key = name or build.__name__
-        QUERIES[key] = build
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return build(spark, sf_dir)
+
+        QUERIES[key] = run
         if body is not None:
             ORACLES[key] = sql.assemble(body, needs)
         return build
@@ -290,6 +296,21 @@ def claims_enriched(spark, sf):
     return _enriched(spark, sf)
 
 
+def _vote_sql(rounds: int) -> tuple[str, str]:
+    """Unrolled rounds of label votes: the label most neighbours carry, the smallest on a tie."""
+    sql.part("votes_0", "adjacent", "SELECT DISTINCT src AS node_id, src AS community FROM adjacent")
+    for i in range(1, rounds + 1):
+        sql.part(f"votes_{i}", f"votes_{i - 1} adjacent", f"""
+SELECT node_id, community FROM (SELECT a.dst AS node_id, v.community, count(*) AS n FROM adjacent a JOIN votes_{i - 1} v ON v.node_id = a.src GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY n DESC, community) = 1""")
+    return f"SELECT * FROM votes_{rounds}", f"votes_{rounds}"
+
+
+@query(*_vote_sql(3))
+def communities(spark, sf):
+    return label_communities(_graph(spark, sf)[1], rounds=3)
+
+
 # Profiles, spine and quality ---------------------------------------------------------------------
 
 @query("""SELECT count(*) AS n, count(DISTINCT state) AS states, min(risk_score_at_issuance) AS risk_min, max(risk_score_at_issuance) AS risk_max,

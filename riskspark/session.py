@@ -7,14 +7,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+ADAPTIVE = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Splitting a skewed join may cost one more exchange; a straggler costs more.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
 def build(app: str = "riskspark", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the plans in this package count on."""
     settings = {
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        # Splitting a skewed join may cost one more exchange; a straggler costs more.
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        **ADAPTIVE,
         # Call sites are looked up per column expression: a cost when plans are built in code.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
@@ -27,6 +32,12 @@ def build(app: str = "riskspark", master: str | None = None, **conf) -> SparkSes
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Turn adaptive skew handling on in a session that was built elsewhere."""
+    for key, value in ADAPTIVE.items():
+        spark.conf.set(key, value)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

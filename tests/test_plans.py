@@ -38,3 +38,35 @@ def test_scans_are_pruned_and_filtered(spark, sf_dir):
 def test_label_filter_drops_other_branches(spark, sf_dir):
     text = plan(catalog.QUERIES["graph_nodes"](spark, sf_dir).where("label = 'Claim'"))
     assert "claimant_" not in text and "Union" not in text
+
+
+def test_examples_are_limited_before_the_shuffle(spark, sf_dir):
+    text = plan(catalog.QUERIES["quality_quotes"](spark, sf_dir))
+    assert "WindowGroupLimit" in text
+
+
+def test_adaptive_execution_splits_a_hot_quote(spark):
+    """A third of all claims on one quote: the join is split instead of left to one task."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {key: spark.conf.get(key, None) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        claims = spark.range(0, 30000, 1, 8).selectExpr(
+            "concat('C', id) AS claim_id", "if(id % 3 = 0, 'Q0', concat('Q', id)) AS quote_id", "cast(id % 90 AS int) AS policy_inception_days"
+        )
+        quotes = spark.range(0, 30000, 1, 8).selectExpr(
+            "concat('Q', id) AS quote_id", "0.5D AS risk_score_at_issuance", "'gold' AS policy_tier_at_issuance"
+        )
+        joined = features.claim_features(claims, quotes)
+        assert joined.count() == 30000 and joined.where("risk_score_at_issuance IS NULL").isEmpty()
+        rows = joined.select("claim_id", "risk_score_at_issuance")
+        rows.collect()
+        assert "skew=true" in plan(rows)
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
