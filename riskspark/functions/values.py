@@ -42,7 +42,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation over the rows that have both values; null when either is constant there."""
+    """Pearson correlation over the rows that have both values; null when either is constant there.
+
+    The range tells a constant: merged partial deviations of one can come out a hair above zero.
+    """
     both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+    left, right = F.when(both, x), F.when(both, y)
+    varies = (F.min(left) < F.max(left)) & (F.min(right) < F.max(right))
+    spread = F.stddev_pop(left) * F.stddev_pop(right)
+    return F.when(varies, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))

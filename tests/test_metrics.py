@@ -83,3 +83,8 @@ def test_correlation_of_a_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, 2.0, 0.0), (None, 2.0, 1.0)], "x double, k double, y double")
     row = df.select(correlation(F.col("x"), F.col("y")).alias("r"), correlation(F.col("k"), F.col("y")).alias("k")).first()
     assert row.r == pytest.approx(-1.0) and row.k is None
+
+
+def test_constants_stay_constant_across_partitions(spark):
+    df = spark.range(0, 10000, 1, 16).selectExpr("0.1D AS k", "cast(id % 7 AS double) AS y")
+    assert df.select(correlation(F.col("k"), F.col("y"))).first()[0] is None
