@@ -58,12 +58,12 @@ def as_text(df: DataFrame, *columns: str, pattern: str = "yyyy-MM-dd") -> DataFr
 
 # Scalar projections ------------------------------------------------------------------------------
 
-@query("SELECT quote_id, risk_score_at_issuance AS risk_score FROM quotes_scored", "quotes_scored")
+@query("SELECT quote_id, risk_score_at_issuance AS risk_score FROM quotes_scored", "quotes_scored", name="rule_risk_score")
 def rule_risk(spark, sf):
     return fx.quotes(spark, sf).select("quote_id", rule_risk_score().alias("risk_score"))
 
 
-@query("SELECT quote_id, policy_tier_at_issuance AS policy_tier FROM quotes", "quotes")
+@query("SELECT quote_id, policy_tier_at_issuance AS policy_tier FROM quotes", "quotes", name="policy_tier")
 def policy_tiers(spark, sf):
     return fx.quotes(spark, sf).select("quote_id", policy_tier(F.col("risk_score_at_issuance")).alias("policy_tier"))
 
