@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, exact, simhash
-from riskspark.llm.common import table
+from riskspark.llm import bpe, exact, language, packing, pii, redirects, simhash, toxicity
+from riskspark.llm.common import remainder, ship, table
 from riskspark.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,8 +15,9 @@ ORACLES: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Adaptive plans, and Arrow batches that stay small when texts are long."""
+    """Adaptive plans, Arrow batches that stay small when texts are long, and this package on all workers."""
     tune(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
@@ -47,3 +48,36 @@ def op6_exact_dedup(spark, sf):
 @query()
 def op10_bpe(spark, sf):
     return bpe.digests(bpe.encode_decode(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query()
+def op7_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    model = language.train(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return language.identify(docs, model).withColumn("held_out", held_out)
+
+
+@query()
+def op1_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    held_out = remainder("doc_id", 3) == 1
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
+    model = toxicity.train(labelled)
+    return toxicity.score(docs, model).withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query(redirects.SQL)
+def op9_redirects(spark, sf):
+    return redirects.judge(table(spark, sf, "pages"))
+
+
+@query()
+def op5_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
+@query()
+def op3_pii(spark, sf):
+    return pii.report(pii.detect(table(spark, sf, "documents")))
