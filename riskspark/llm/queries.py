@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, exact, language, packing, pii, redirects, simhash, toxicity
+from riskspark.llm import bpe, exact, language, mixing, packing, pii, redirects, simhash, toxicity
 from riskspark.llm.common import remainder, ship, table
 from riskspark.session import tune
 
@@ -81,3 +81,9 @@ def op5_packing(spark, sf):
 @query()
 def op3_pii(spark, sf):
     return pii.report(pii.detect(table(spark, sf, "documents")))
+
+
+@query()
+def op4_context_mixing(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("held_out", remainder("doc_id", 7) == 2)
+    return mixing.score(docs, "held_out")
