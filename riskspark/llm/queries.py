@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, exact, language, mixing, packing, pii, redirects, simhash, toxicity
+from riskspark.llm import bpe, descent, exact, language, mixing, packing, pii, redirects, simhash, toxicity
 from riskspark.llm.common import remainder, ship, table
 from riskspark.session import tune
 
@@ -87,3 +87,8 @@ def op3_pii(spark, sf):
 def op4_context_mixing(spark, sf):
     docs = table(spark, sf, "documents").withColumn("held_out", remainder("doc_id", 7) == 2)
     return mixing.score(docs, "held_out")
+
+
+@query()
+def op8_descent(spark, sf):
+    return descent.near_vectors(table(spark, sf, "embeddings"))
