@@ -234,18 +234,19 @@ def accepted(kind: str, model: Model) -> Column:
 
 
 def detect(docs: DataFrame, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per input row: the columns ``keep``, and arrays of (start, end) spans for each base and further kind.
+    """One row per input row: ``row`` (a struct of the columns ``keep``), and arrays of (start, end) spans for each base
+    and further kind, ``span_<kind>``.
 
     Null texts count as empty and have no spans. Spans of one kind are disjoint and ascending; base kinds may overlap
-    each other, further kinds overlap no base span. Equal texts get equal spans. No rows give no rows.
+    each other, further kinds overlap no base span. Equal texts get equal spans. As kept columns are in a struct, their
+    names clash with nothing. No rows give no rows.
     """
-    text = whole(text_column)
-    base = docs.select(*keep, text.alias("_text")).withColumns({f"_{k}": s for k, s in base_spans(F.col("_text")).items()})
-    taken = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    marked = base.select(*keep, *(f"_{k}" for k in KINDS), *(c.alias(k) for k, c in candidates(F.col("_text"), taken).items()))
-    found = materialise(marked, "spans")
+    base = docs.select(F.struct(*keep).alias("row"), whole(text_column).alias("text"))
+    base = base.select("row", "text", *(c.alias(f"span_{k}") for k, c in base_spans(F.col("text")).items()))
+    taken = F.concat(*(F.col(f"span_{k}") for k in KINDS))
+    found = materialise(base.select("row", *(f"span_{k}" for k in KINDS), *(c.alias(k) for k, c in candidates(F.col("text"), taken).items())), "spans")
     model = fit(found)
-    return found.select(*keep, *(F.col(f"_{k}").alias(f"span_{k}") for k in KINDS), *(accepted(k, model).alias(f"span_{k}") for k in EXTRA))
+    return found.select("row", *(f"span_{k}" for k in KINDS), *(accepted(k, model).alias(f"span_{k}") for k in EXTRA))
 
 
 def _texts(kinds: tuple[str, ...]) -> Column:
@@ -258,12 +259,12 @@ def _texts(kinds: tuple[str, ...]) -> Column:
 def report(spans: DataFrame) -> DataFrame:
     """``doc_id``, counts of base spans, ``base_sha256`` and ``spans`` from the operator's rows."""
     return spans.select(
-        "doc_id", *(F.size(f"span_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
+        "row.doc_id", *(F.size(f"span_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(_texts(KINDS), 256).alias("base_sha256"), _texts(KINDS + EXTRA).alias("spans"))
 
 
 def redacted(text: Column) -> Column:
-    """``text`` with every span replaced by its kind in angle brackets; of overlapping spans the first names the kind."""
+    """``text`` (null stays null) with every span replaced by its kind in angle brackets; of overlapping spans the first names the kind."""
     def marks(kind: str) -> Column:
         return F.transform(f"span_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("mark")))
 
