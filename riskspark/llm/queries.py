@@ -62,9 +62,7 @@ def op7_language(spark, sf):
 def op1_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     held_out = remainder("doc_id", 3) == 1
-    labels = table(spark, sf, "labels").select("doc_id", "toxic")
-    labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
-    model = toxicity.train(labelled)
+    model = toxicity.train(docs.where(~held_out), table(spark, sf, "labels").where(~held_out))
     return toxicity.score(docs, model).withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

@@ -43,6 +43,9 @@ class Model(NamedTuple):
     weights: tuple[float, ...]
 
 
+NOTHING = Model(b" ", b" ", (0.0,) * 7 + (-1e9,))
+
+
 @cache
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
     parameters = zstandard.ZstdCompressionParameters(
@@ -111,19 +114,22 @@ def _with_features(rows: DataFrame, key: str, model: Model) -> DataFrame:
     return rows.select(F.col(key).alias("key"), "_data").mapInArrow(lambda b: _features(b, model), f"key {kind}, x array<double>")
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from columns ``doc_id``, ``text``, ``toxic`` (0 or 1; rows with nulls are left out).
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``: 0 or 1).
 
-    Without rows of both labels the score is 0 for every text.
+    Rows with nulls, or without a partner, are left out. The sample is drawn from the labels, so only its rows' texts
+    move. Without rows of both labels the score is 0 for every text.
     """
-    known = labelled.where("text IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("text").cast("binary").alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return Model(b" ", b" ", (0.0,) * 7 + (-1e9,))
+        return NOTHING
     share = {y: min(1.0, sample_rows / n) for y, n in sizes.items()}
     part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    chosen = known.where(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * 1_000_000)
+    texts = docs.where("text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
     sample = materialise(
-        known.where(part < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]) * 1_000_000)
+        texts.join(F.broadcast(chosen), "doc_id")  # at most about two samples of ids
         .withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(4))).dropDuplicates(["text", "toxic"]), "toxic")
     teach = sample.where("fold <> 0").select("text", "toxic")
     totals = {r["toxic"]: r["count"] for r in teach.groupBy("toxic").count().collect()}
@@ -145,10 +151,12 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     model = Model(base + b"\x01" * len(own), base + own, ())
     taught = sample.where("fold = 0").select(F.struct("toxic").alias("label"), F.col("text").alias("_data"))
     rows = [(r["key"]["toxic"], r["x"]) for r in _with_features(taught, "label", model).collect()]  # at most the sample
+    if not rows:
+        return NOTHING
     y = np.array([r[0] for r in rows], float)
-    weight = np.where(y == 1, 1 / share[1], 1 / share[0]) if rows else y
+    weight = np.where(y == 1, 1 / share[1], 1 / share[0])
     x = np.array([r[1] for r in rows], float).reshape(len(rows), 7)
-    return model._replace(weights=tuple(logistic(x, y, weight / max(weight.mean(), 1e-9) if rows else weight).tolist()))
+    return model._replace(weights=tuple(logistic(x, y, weight / weight.mean()).tolist()))
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
