@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained on labelled text, one for ordinary and one for toxic text. Both hold
 the words common to all text; the toxic one also holds byte strings that occur in far more toxic than
-ordinary documents (counted once per document). Every text is cut into overlapping windows of two sizes;
+ordinary documents (counted once per document), chosen so that each covers toxic documents no other does. Every text is cut into overlapping windows of two sizes;
 a window that the toxic dictionary makes shorter than the ordinary one speaks for toxicity. A logistic
 curve over the largest differences, fitted on labelled rows the dictionaries have not seen, calibrates
 the score.
@@ -29,9 +29,10 @@ from riskspark.session import materialise
 SAMPLE_ROWS = 5000
 WINDOWS = ((64, 48), (40, 28))
 GRAMS = range(5, 9)
-COMMON_WORDS, SEGMENTS = 300, 400
-#: A segment must occur in so many times the share of toxic documents as of ordinary ones, by so many standard errors.
-LIFT, ERRORS, LEAST = 8.0, 4.5, 3
+COMMON_WORDS, OFFERED = 300, 2000
+#: A segment must occur in so many times the share of toxic documents as of ordinary ones (and one more), by so many
+#: standard errors, and in at least so many toxic documents (and such a part of them) that no earlier segment covers.
+LIFT, ERRORS, LEAST, LEAST_SHARE = 8.0, 4.0, 3, 0.002
 FLUSH = 400_000
 #: Differences above this count as this.
 TOP = 16.0
@@ -114,6 +115,29 @@ def _with_features(rows: DataFrame, key: str, model: Model) -> DataFrame:
     return rows.select(F.col(key).alias("key"), "_data").mapInArrow(lambda b: _features(b, model), f"key {kind}, x array<double>")
 
 
+def _holds(batches: Iterator[pa.RecordBatch], offered: list[bytes]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = (b" " + b" ".join(t.translate(ASCII_LOWER).split()) for t in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([[i for i, s in enumerate(offered) if s in t] for t in texts], pa.list_(pa.int32()))], names=["held"])
+
+
+def cover(held: list[list[int]], least: float) -> list[int]:
+    """Segments in the order in which each covers most of the documents that none before it covers, down to ``least``."""
+    left: dict[int, set[int]] = {}
+    for doc, own in enumerate(held):
+        for i in own:
+            left.setdefault(i, set()).add(doc)
+    chosen = []
+    while left:
+        best = min(left, key=lambda i: (-len(left[i]), i))
+        covered = left.pop(best)
+        if len(covered) < least:
+            break
+        chosen.append(best)
+        left = {i: rest for i, docs in left.items() if (rest := docs - covered)}
+    return chosen
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``: 0 or 1).
 
@@ -140,13 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     common = [bytes(r["value"]) for r in counted.where("kind = 0").orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "value").limit(COMMON_WORDS).collect()]
     pooled = (F.col("toxic") + F.col("ordinary")) / (n1 + n0)
     errors = (F.col("toxic") / n1 - F.col("ordinary") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    ranked = counted.where((F.col("kind") == 1) & (F.col("toxic") >= LEAST)).withColumn("errors", errors).where(
-        (F.col("errors") > ERRORS) & (F.col("toxic") / n1 > LIFT * F.col("ordinary") / n0)).orderBy(F.desc("errors"), F.desc(F.length("value")), "value")
-    chosen: list[bytes] = []
-    for r in ranked.limit(10 * SEGMENTS).collect():
-        value = bytes(r["value"])
-        if len(chosen) < SEGMENTS and not any(value in c for c in chosen):
-            chosen.append(value)
+    ranked = counted.where((F.col("kind") == 1) & (F.col("toxic") >= max(LEAST, LEAST_SHARE * n1))).withColumn("errors", errors).where(
+        (F.col("errors") > ERRORS) & (F.col("toxic") / n1 > LIFT * (F.col("ordinary") + 1) / n0)).orderBy(F.desc("errors"), F.desc(F.length("value")), "value")
+    offered = [bytes(r["value"]) for r in ranked.limit(OFFERED).collect()]
+    seen = teach.where("toxic = 1").select("text").mapInArrow(lambda b: _holds(b, offered), "held array<int>").collect()  # at most the sample
+    chosen = [offered[i] for i in cover([r["held"] for r in seen], max(LEAST, LEAST_SHARE * n1))]
     base, own = b" ".join(reversed(common)) + b" \x01", b"\x01".join(reversed(chosen))
     model = Model(base + b"\x01" * len(own), base + own, ())
     taught = sample.where("fold = 0").select(F.struct("toxic").alias("label"), F.col("text").alias("_data"))
