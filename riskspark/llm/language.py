@@ -144,11 +144,11 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and posterior of each text; all texts of a batch share one call of the recursion."""
-        split = [words(t) if t else [] for t in texts]
+        split = [words(t) if t and self.model.languages else [] for t in texts]
         places = self._places([w for own in split for w in own])
         out, at = [], 0
         for own in split:
-            if not own or not self.model.languages:
+            if not own:
                 out.append((UNDETERMINED, 0.0))
                 continue
             total = self.logs[places[at:at + len(own)]].sum(axis=0)

@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on labelled text, one for ordinary and one for toxic text. Both hold
-the words common to all text; the toxic one also holds byte strings that occur in far more toxic than
+the words common in ordinary text; the toxic one also holds byte strings that occur in far more toxic than
 ordinary documents (counted once per document), chosen so that each covers toxic documents no other does. Every text is cut into overlapping windows of two sizes;
 a window that the toxic dictionary makes shorter than the ordinary one speaks for toxicity. A logistic
 curve over the largest differences, fitted on labelled rows the dictionaries have not seen, calibrates
@@ -34,6 +34,9 @@ COMMON_WORDS, OFFERED = 300, 2000
 #: standard errors, and in at least so many toxic documents (and such a part of them) that no earlier segment covers.
 LIFT, ERRORS, LEAST, LEAST_SHARE = 8.0, 4.0, 3, 0.002
 FLUSH = 400_000
+#: Every window follows so many bytes from the start of both dictionaries, which become one match: without it a window
+#: that barely shrinks would be stored as it is, and small differences lost.
+LEAD = 64
 #: Differences above this count as this.
 TOP = 16.0
 
@@ -67,10 +70,10 @@ def windows(data: bytes, size: int, step: int) -> list[bytes]:
 def features(data: bytes, model: Model) -> list[float]:
     """For each window size the largest difference of compressed lengths and the next one; and the log of the length."""
     data = data.translate(ASCII_LOWER)
-    ordinary, toxic = compressor(model.ordinary).compress, compressor(model.toxic).compress
+    ordinary, toxic, lead = compressor(model.ordinary).compress, compressor(model.toxic).compress, model.ordinary[:LEAD]
     found = []
     for size, step in WINDOWS:
-        gaps = sorted(len(ordinary(w)) - len(toxic(w)) for w in windows(data, size, step))
+        gaps = sorted(len(ordinary(w)) - len(toxic(w)) for w in (lead + x for x in windows(data, size, step)))
         best = min(TOP, float(gaps[-1]))
         found += [best, min(TOP, float(gaps[-2])) if len(gaps) > 1 else 0.0, max(0.0, best - 5.0)]
     return [*found, float(np.log1p(len(data)))]
@@ -161,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     counted = materialise(
         teach.mapInArrow(_segments, "kind int, value binary, toxic long, ordinary long").groupBy("kind", "value")
         .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).where("toxic >= 3 OR ordinary >= 3"), "segments")
-    common = [bytes(r["value"]) for r in counted.where("kind = 0").orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "value").limit(COMMON_WORDS).collect()]
+    common = [bytes(r["value"]) for r in counted.where("kind = 0").orderBy(F.desc("ordinary"), "value").limit(COMMON_WORDS).collect()]
     pooled = (F.col("toxic") + F.col("ordinary")) / (n1 + n0)
     errors = (F.col("toxic") / n1 - F.col("ordinary") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
     ranked = counted.where((F.col("kind") == 1) & (F.col("toxic") >= max(LEAST, LEAST_SHARE * n1))).withColumn("errors", errors).where(
@@ -169,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     offered = [bytes(r["value"]) for r in ranked.limit(OFFERED).collect()]
     seen = teach.where("toxic = 1").select("text").mapInArrow(lambda b: _holds(b, offered), "held array<int>").collect()  # at most the sample
     chosen = [offered[i] for i in cover([r["held"] for r in seen], max(LEAST, LEAST_SHARE * n1))]
-    base, own = b" ".join(reversed(common)) + b" \x01", b"\x01".join(reversed(chosen))
+    # The last bytes of a dictionary are not searched, so filling follows.
+    base, own = b" ".join(reversed(common)) + b" \x01", b"\x01".join(reversed(chosen)) + b"\x01" * 16
     model = Model(base + b"\x01" * len(own), base + own, ())
     taught = sample.where("fold = 0").select(F.struct("toxic").alias("label"), F.col("text").alias("_data"))
     rows = [(r["key"]["toxic"], r["x"]) for r in _with_features(taught, "label", model).collect()]  # at most the sample
