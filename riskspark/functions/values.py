@@ -17,8 +17,11 @@ def truthy(column: Column, zero) -> Column:
 
 def optional(df: DataFrame, name: str, dtype: str) -> Column:
     """A column of ``df`` cast to ``dtype``, or a typed null when ``df`` has no such column."""
-    column = F.col(name) if name in df.columns else F.lit(None)
-    return real(column) if dtype == "double" else column.cast(dtype)
+    if name not in df.columns:
+        return F.lit(None).cast(dtype)
+    column = F.col(name)
+    fractional = dict(df.dtypes)[name] in ("float", "double")
+    return (real(column) if fractional or dtype == "double" else column).cast(dtype)
 
 
 def clip(column: Column, low: float, high: float) -> Column:

@@ -72,8 +72,8 @@ def graph_nodes(rows: DataFrame) -> DataFrame:
         _nodes(rows, "Claim", F.col("claim_id"), is_fraud=fraud, state=F.col("state")),
         _nodes(rows, "Claimant", claimant_id(), is_fraud=fraud),
     ]
-    # The attributes of a shared node are functions of its id, so a distinct does it: a hash
-    # aggregate that combines map-side, however many claims share the node.
+    # The attributes of a vehicle are functions of its id, so a distinct does it: a hash aggregate
+    # that combines map-side, however many claims share the node.
     attorneys = rows.select("attorney_id").where(F.col("attorney_id").isNotNull()).distinct()
     cars = rows.select("vin", "make", "model", "year").where(F.col("vin").isNotNull()).distinct()
     branches += [
@@ -81,32 +81,32 @@ def graph_nodes(rows: DataFrame) -> DataFrame:
         _nodes(cars, "Vehicle", F.col("vin"), make=F.col("make"), model=F.col("model"), year=F.col("year")),
     ]
     for attr in ("phone", "address"):
-        values = rows.select(attr).where(F.col(attr).isNotNull()).distinct()
-        branches.append(_nodes(
-            values, "Entity", text.entity_id(attr, F.col(attr)), attr_type=F.lit(attr), attr_value=F.col(attr)
-        ))
+        # Spellings of one value share an id; the least of them stands for it.
+        spellings = rows.select(attr).where(F.col(attr).isNotNull()).distinct()
+        values = spellings.groupBy(text.entity_id(attr, F.col(attr)).alias("entity_id")).agg(F.min(attr).alias(attr))
+        branches.append(_nodes(values, "Entity", F.col("entity_id"), attr_type=F.lit(attr), attr_value=F.col(attr)))
     return reduce(DataFrame.unionAll, branches)
 
 
 def graph_edges(rows: DataFrame) -> DataFrame:
-    """Edge table ``(src, dst, rel_type, attr_type)``. Unique because ``rows`` is unique by claim."""
+    """Edge table ``(src, dst, rel_type, attr_type, src_label)``. Unique because ``rows`` is unique by claim."""
     claimant = claimant_id()
     candidates = [
-        (claimant, F.col("claim_id"), "FILED", None),
-        (claimant, F.col("attorney_id"), "REPRESENTED_BY", None),
-        (F.col("claim_id"), F.col("vin"), "INVOLVES", None),
+        (claimant, F.col("claim_id"), "FILED", None, "Claimant"),
+        (claimant, F.col("attorney_id"), "REPRESENTED_BY", None, "Claimant"),
+        (F.col("claim_id"), F.col("vin"), "INVOLVES", None, "Claim"),
     ]
     for attr in ("phone", "address"):
         entity = text.entity_id(attr, F.col(attr))
         linked = F.when(F.col(attr).isNotNull(), entity)
-        candidates += [(claimant, linked, "SHARES", attr), (F.col("claim_id"), linked, "SHARES", attr)]
+        candidates += [(claimant, linked, "SHARES", attr, "Claimant"), (F.col("claim_id"), linked, "SHARES", attr, "Claim")]
     # One pass over the claims: each row carries its up to seven edges, then they are unpacked.
     edges = F.array(*[
         F.struct(
             src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel_type"),
-            F.lit(attr).cast("string").alias("attr_type"),
+            F.lit(attr).cast("string").alias("attr_type"), F.lit(label).alias("src_label"),
         )
-        for src, dst, rel, attr in candidates
+        for src, dst, rel, attr, label in candidates
     ])
     return rows.select(F.inline(edges)).where(F.col("dst").isNotNull())
 
@@ -121,7 +121,7 @@ def edges_with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     for end in ("src", "dst"):
         missing = edges.select(end).distinct().join(ids, F.col(end) == F.col("node_id"), "left_anti")
         edges = edges.join(missing, end, "left_anti")
-    return edges.select("src", "dst", "rel_type", "attr_type")
+    return edges.select("src", "dst", "rel_type", "attr_type", "src_label")
 
 
 def node_counts(nodes: DataFrame) -> DataFrame:
@@ -133,8 +133,8 @@ def edge_counts(edges: DataFrame) -> DataFrame:
 
 
 def _claim_shares(edges: DataFrame) -> DataFrame:
-    """(claim, entity) pairs: a claim's share edges are those that do not start at its claimant."""
-    return edges.where((F.col("rel_type") == "SHARES") & ~F.col("src").startswith("claimant_")).select(
+    """(claim, entity) pairs: share edges that start at a claim, not at its claimant."""
+    return edges.where((F.col("rel_type") == "SHARES") & (F.col("src_label") == "Claim")).select(
         F.col("src").alias("claim_id"), F.col("dst").alias("entity_id")
     )
 
@@ -153,7 +153,7 @@ def load_report(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     shares = F.col("rel_type") == "SHARES"
     report = edges.agg(
         F.count_if(shares).alias("share_edges"),
-        F.count_if(shares & ~F.col("src").startswith("claimant_")).alias("claim_share_edges"),
+        F.count_if(shares & (F.col("src_label") == "Claim")).alias("claim_share_edges"),
     )
     return report.withColumns({
         "claims": rows.agg(F.count(F.lit(1))).scalar(),

@@ -242,7 +242,9 @@ def check_fraud_signals(claims: DataFrame) -> DataFrame:
             continue
         value = _as_number(claims, name)
         gap = F.avg(F.when(fraud, value)) - F.avg(F.when(~fraud, value))
-        inverted = (lambda o: o <= 0) if direction == "greater" else (lambda o: o >= 0)
+        # Without rows of both classes nothing can be told apart: not a number, which fails.
+        gap = F.when((F.count_if(fraud) > 0) & (F.count_if(~fraud) > 0), gap).otherwise(F.lit(float("nan")))
+        inverted = (lambda o: F.isnan(o) | (o <= 0)) if direction == "greater" else (lambda o: F.isnan(o) | (o >= 0))
         rules.append(Rule(f"V24_{name}", direction, observed=gap, status=grade(fail=inverted)))
     for name, sign in FRAUD_CORRELATION_SIGNS.items():
         threshold = "positive" if sign > 0 else "negative"

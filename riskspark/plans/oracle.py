@@ -226,7 +226,7 @@ SELECT c.claim_id, c.quote_id, c.is_fraud, c.state, v.vin, v.make, v.model, v.ye
  CASE WHEN length({digits("k.phone_raw")}) = 10 THEN {digits("k.phone_raw")} END AS phone,
  {address("k.address_line1_raw", "k.city_raw", "k.state", "k.zip_raw")} AS address
 FROM claims c JOIN vehicles v ON v.quote_id = c.quote_id
-LEFT JOIN (SELECT * FROM contacts WHERE customer_key % 7 = 0) k ON k.source_id = c.quote_id""")
+LEFT JOIN contacts k ON k.source_id = c.quote_id""")
 
 
 def node(label: str, node_id: str, where: str = "true", **values: str) -> str:
@@ -239,19 +239,19 @@ part("nodes", "graph_rows", " UNION ALL ".join([
     node("Claimant", "'claimant_' || claim_id", is_fraud="is_fraud"),
     node("Attorney", "attorney_id", "attorney_id IS NOT NULL"),
     node("Vehicle", "vin", make="make", model="model", year="year"),
-    *[node("Entity", entity(k, k), f"{k} IS NOT NULL", attr_type=f"'{k}'", attr_value=k) for k in ("phone", "address")],
+    *[node("Entity", entity(k, k), f"{k} IS NOT NULL GROUP BY ALL", attr_type=f"'{k}'", attr_value=f"min({k})") for k in ("phone", "address")],
 ]))
 
 part("edges", "graph_rows", """
-SELECT 'claimant_' || claim_id AS src, claim_id AS dst, 'FILED' AS rel_type, CAST(NULL AS VARCHAR) AS attr_type FROM graph_rows
-UNION ALL SELECT 'claimant_' || claim_id, attorney_id, 'REPRESENTED_BY', NULL FROM graph_rows WHERE attorney_id IS NOT NULL
-UNION ALL SELECT claim_id, vin, 'INVOLVES', NULL FROM graph_rows
+SELECT 'claimant_' || claim_id AS src, claim_id AS dst, 'FILED' AS rel_type, CAST(NULL AS VARCHAR) AS attr_type, 'Claimant' AS src_label FROM graph_rows
+UNION ALL SELECT 'claimant_' || claim_id, attorney_id, 'REPRESENTED_BY', NULL, 'Claimant' FROM graph_rows WHERE attorney_id IS NOT NULL
+UNION ALL SELECT claim_id, vin, 'INVOLVES', NULL, 'Claim' FROM graph_rows
 """ + " ".join(
-    f"UNION ALL SELECT {src}, {entity(k, k)}, 'SHARES', '{k}' FROM graph_rows WHERE {k} IS NOT NULL"
-    for k in ("phone", "address") for src in ("'claimant_' || claim_id", "claim_id")
+    f"UNION ALL SELECT {src}, {entity(k, k)}, 'SHARES', '{k}', '{label}' FROM graph_rows WHERE {k} IS NOT NULL"
+    for k in ("phone", "address") for src, label in (("'claimant_' || claim_id", "Claimant"), ("claim_id", "Claim"))
 ))
 
-part("claim_entities", "edges", "SELECT src AS claim_id, dst AS entity_id FROM edges WHERE rel_type = 'SHARES' AND src LIKE 'C-%'")
+part("claim_entities", "edges", "SELECT src AS claim_id, dst AS entity_id FROM edges WHERE rel_type = 'SHARES' AND src_label = 'Claim'")
 part("shared_entities", "claim_entities", """
 SELECT entity_id, count(DISTINCT claim_id) AS n_claims FROM claim_entities GROUP BY entity_id HAVING count(DISTINCT claim_id) > 1""")
 part("centrality", "edges", """

@@ -11,15 +11,17 @@ FEATURE_SCHEMAS = {"quote": schemas.QUOTE_FEATURES, "claim": schemas.CLAIM_FEATU
 REQUIRED = {"quote": schemas.REQUIRED_QUOTE_FEATURES, "claim": schemas.REQUIRED_CLAIM_FEATURES}
 
 
-def write_snapshots(snapshots: DataFrame, path: str, record_type: str, batch_id: int = 0, fmt: str = "parquet") -> None:
-    """Add one batch of snapshots of one type.
+def write_snapshots(snapshots: DataFrame, path: str, record_type: str, batch_id: int = 0, fmt: str = "parquet") -> str:
+    """Add one batch of snapshots of one type; returns the batch's folder.
 
     A batch owns its folder and overwrites it, so a replay changes nothing and older batches stay.
     """
     writer = snapshots.drop("record_type").write.format(fmt).mode("overwrite")
     if fmt == "json":
         writer = writer.option("ignoreNullFields", "false")
-    writer.save(f"{path}/record_type={record_type}/batch_id={batch_id}")
+    folder = f"{path}/record_type={record_type}/batch_id={batch_id}"
+    writer.save(folder)
+    return folder
 
 
 def read_snapshots(spark: SparkSession, path: str, record_type: str) -> DataFrame:
@@ -78,7 +80,10 @@ def upsert(rows: DataFrame, path: str, batch_id: int) -> None:
     marked = rows if "deleted" in rows.columns else rows.withColumn("deleted", F.lit(False))
     target = f"{path}/batch_id={batch_id}"
     # One row per key before the buckets are formed: a key with many updates stays one row.
-    ordered = _bucketed(latest_per_key(marked, "key", "updated_at", "features")).repartition("bucket").sortWithinPartitions("bucket", "key")
+    # Each bucket is written by several tasks: as many as make use of all shuffle partitions.
+    salts = -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    salt = F.pmod(F.xxhash64("key"), F.lit(salts))
+    ordered = _bucketed(latest_per_key(marked, "key", "updated_at", "features")).repartition("bucket", salt).sortWithinPartitions("bucket", "key")
     ordered.write.mode("overwrite").partitionBy("bucket").parquet(target)
 
 
@@ -117,7 +122,12 @@ def compact(spark: SparkSession, path: str, target: str, as_of: Column) -> None:
 
 
 def save(snapshots: DataFrame, offline_path: str, online_path: str, batch_id: int, record_type: str, ttl_seconds: int | None = 3600) -> DataFrame:
-    """Persist snapshots offline and upsert their features online; returns the snapshots."""
-    write_snapshots(snapshots, offline_path, record_type, batch_id)
-    upsert(to_online_rows(snapshots, ttl_seconds), online_path, batch_id)
-    return snapshots
+    """Persist snapshots offline and upsert their features online; returns the snapshots as stored.
+
+    The input is evaluated once: the second sink reads what the first has written.
+    """
+    folder = write_snapshots(snapshots, offline_path, record_type, batch_id)
+    kept = T.StructType([f for f in snapshots.schema if f.name != "record_type"])
+    stored = snapshots.sparkSession.read.schema(kept).parquet(folder).withColumn("record_type", F.lit(record_type)).select(snapshots.columns)
+    upsert(to_online_rows(stored, ttl_seconds), online_path, batch_id)
+    return stored

@@ -177,13 +177,13 @@ def claimants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_claims(spark: SparkSession, sf_dir: str, quote_rows: DataFrame | None = None) -> DataFrame:
-    """Claims with the attorney, the vehicle and, for every seventh customer, contact values."""
+    """Claims with the attorney, the vehicle and the customer's contact values."""
     rows = quotes(spark, sf_dir) if quote_rows is None else quote_rows
     context = vehicles(rows, "state").select("quote_id", "state", "vin", "make", "model", "year")
     lines = claim_lines(spark, sf_dir).selectExpr(
         "claim_id", "quote_id", "is_fraud", "if(attorney_present, concat('attorney_', attorney_key), NULL) AS attorney_id"
     )
-    contact = contacts(spark, sf_dir).where("customer_key % 7 = 0").selectExpr(
+    contact = contacts(spark, sf_dir).selectExpr(
         "source_id AS quote_id", "phone_raw", "address_line1_raw", "city_raw", "state AS contact_state", "zip_raw"
     )
     return lines.join(context, "quote_id").join(contact, "quote_id", "left")

@@ -24,7 +24,7 @@ def read(spark: SparkSession, path: str, schema: T.StructType | None = None, ups
 
 def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Overwrite ``path``. A plan that still reads ``path`` is refused."""
-    if any(_covers(path, source) for source in df.inputFiles()):
+    if any(_covers(path, source) for source in _roots(df)):
         raise ValueError(f"{path} is an input of the plan that would overwrite it")
     writer = df.write.mode("overwrite")
     if partition_by:
@@ -32,5 +32,18 @@ def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> No
     writer.parquet(path)
 
 
+def _roots(df: DataFrame) -> list[str]:
+    """Root paths of the file tables that a plan reads: a few names, however many files there are."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found += [roots.apply(i).toString() for i in range(roots.size())]
+    return found
+
+
 def _covers(path: str, source: str) -> bool:
-    return urlparse(source).path.startswith(urlparse(path).path.rstrip("/") + "/")
+    """Whether a source lies in ``path`` or the other way round."""
+    own, other = (urlparse(p).path.rstrip("/") + "/" for p in (path, source))
+    return other.startswith(own) or own.startswith(other)

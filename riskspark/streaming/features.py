@@ -8,8 +8,8 @@ from riskspark.operators.features import claim_features, quote_features, snapsho
 from riskspark.sources.feature_store import save
 
 
-def once_per_record(stream: DataFrame, id_column: str, event_time: str, lateness: str = "1 hour") -> DataFrame:
-    """Drop late rows and repeats of a record id within the lateness allowed."""
+def once_per_record(stream: DataFrame, id_column: str, event_time: str, lateness: str) -> DataFrame:
+    """Drop repeats of a record id. Rows later than ``lateness`` behind the newest are lost, so it must cover the source."""
     return stream.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([id_column])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskspark import schemas
 from riskspark.functions.scoring import agreed_score, debias, logit, platt, policy_tier, rule_risk_score
 from riskspark.functions.values import nan_to_null
+from riskspark.functions.values import optional
 from riskspark.operators import features
 
 QUOTE = dict(
@@ -154,3 +155,8 @@ def test_nan_to_null_reaches_nested_fields(spark):
     )
     row = nan_to_null(df).first()
     assert row.a is None and row.b.c is None and row.b.d == 1.0 and row.e == [None, 2.0]
+
+
+def test_nan_in_a_whole_number_field_is_null(spark):
+    df = spark.createDataFrame([(float("nan"), 3.0)], "a double, b double")
+    assert tuple(df.select(optional(df, "a", "int"), optional(df, "b", "bigint"), optional(df, "c", "int")).first()) == (None, 3, None)

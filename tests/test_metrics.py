@@ -15,7 +15,9 @@ SCORED = [(RNG.random() < 0.3, 0.5 if i % 3 == 0 else round(RNG.random(), 3)) fo
 
 @pytest.fixture(scope="module")
 def scored(spark):
-    return spark.createDataFrame(SCORED, "y boolean, p double").cache()
+    kept = spark.createDataFrame(SCORED, "y boolean, p double").cache()
+    yield kept
+    kept.unpersist(True)
 
 
 def test_auc_counts_ties_as_half(scored):

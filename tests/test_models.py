@@ -10,7 +10,10 @@ QUICK = {"maxIter": 8, "stepSize": 0.3, "maxDepth": 4}
 
 @pytest.fixture(scope="module")
 def tables(spark, sf_dir):
-    return fx.quotes(spark, sf_dir).cache(), fx.claim_lines(spark, sf_dir).cache()
+    kept = fx.quotes(spark, sf_dir).cache(), fx.claim_lines(spark, sf_dir).cache()
+    yield kept
+    for df in kept:
+        df.unpersist(True)
 
 
 @pytest.fixture(scope="module")

@@ -37,7 +37,7 @@ def test_scans_are_pruned_and_filtered(spark, sf_dir):
 
 def test_label_filter_drops_other_branches(spark, sf_dir):
     text = plan(catalog.QUERIES["graph_nodes"](spark, sf_dir).where("label = 'Claim'"))
-    assert "claimant_" not in text and "Union" not in text
+    assert "concat(claimant_" not in text and "Union" not in text
 
 
 def test_examples_are_limited_before_the_shuffle(spark, sf_dir):

@@ -13,7 +13,9 @@ STAMP = datetime(2024, 6, 30)
 
 @pytest.fixture(scope="module")
 def snapshots(spark, sf_dir):
-    return features.snapshots(features.quote_features(fixture_quotes(spark, sf_dir)), "quote", F.lit(STAMP)).cache()
+    kept = features.snapshots(features.quote_features(fixture_quotes(spark, sf_dir)), "quote", F.lit(STAMP)).cache()
+    yield kept
+    kept.unpersist(True)
 
 
 def test_snapshot_round_trip(spark, tmp_path, snapshots):

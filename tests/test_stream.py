@@ -38,7 +38,7 @@ def test_repeats_within_the_watermark_arrive_once(spark, tmp_path):
     rows = spark.createDataFrame([("a", datetime(2024, 1, 1, 0)), ("a", datetime(2024, 1, 1, 0)), ("b", datetime(2024, 1, 1, 1))], "id string, at timestamp")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    live.to_table(live.once_per_record(stream, "id", "at"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    live.to_table(live.once_per_record(stream, "id", "at", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
 
 
