@@ -117,11 +117,11 @@ def edges_with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     The missing ids are found among the distinct ends, so a node with a third of all edges is one
     row there, and the edges themselves meet only the few ids that are missing.
     """
-    ids = nodes.select("node_id")
+    ids, columns = nodes.select("node_id"), edges.columns
     for end in ("src", "dst"):
         missing = edges.select(end).distinct().join(ids, F.col(end) == F.col("node_id"), "left_anti")
         edges = edges.join(missing, end, "left_anti")
-    return edges.select("src", "dst", "rel_type", "attr_type", "src_label")
+    return edges.select(columns)
 
 
 def node_counts(nodes: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from riskspark import schemas
 from riskspark.functions.scoring import agreed_score, debias, logit, platt, policy_tier, rule_risk_score
-from riskspark.functions.values import nan_to_null
-from riskspark.functions.values import optional
+from riskspark.functions.values import nan_to_null, optional
 from riskspark.operators import features
 
 QUOTE = dict(
