@@ -16,6 +16,7 @@ FEATURE_STORE_VERSION = "v1.0.0"
 HOP_SENTINEL = 999
 MAX_HOPS = 6
 
+# The telematics signals of a quote.
 TELEMATICS_SIGNALS = [
     "telematics_distraction_score",
     "telematics_hard_brake_rate",

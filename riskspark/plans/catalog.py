@@ -442,7 +442,10 @@ def quality_snapshot_spine(spark, sf):
     )
 
 
-_CHECK_GROUPS = ["quality_quotes", "quality_claims", "quality_graph_features", "quality_fraud_signals", "quality_spine"]
+_CHECK_GROUPS = [
+    "quality_quotes", "quality_claims", "quality_graph_features", "quality_fraud_signals", "quality_spine", "quality_graph_topology",
+    "quality_entities", "quality_trio", "quality_quote_snapshots", "quality_claim_snapshots", "quality_snapshot_spine",
+]
 
 
 @query(
@@ -450,12 +453,14 @@ _CHECK_GROUPS = ["quality_quotes", "quality_claims", "quality_graph_features", "
     " ".join(sql.QUALITY[name][1] for name in _CHECK_GROUPS),
 )
 def quality_checks(spark, sf):
-    """The rules over quotes and enriched claims, each table written once and then read by its rules."""
+    """Every group of rules; quotes and enriched claims are written once and then read by their rules."""
     quotes = materialise(fx.quotes(spark, sf), "quotes")
     claims = materialise(_with_availability(_enriched(spark, sf)), "claims")
     parts = [
         quality.check_quotes(quotes), quality.check_claims(claims), quality.check_graph_features(claims),
         quality.check_fraud_signals(claims), quality.check_spine(claims, quotes),
+        *(group(spark, sf) for group in (
+            quality_graph_topology, quality_entities, quality_trio, quality_quote_snapshots, quality_claim_snapshots, quality_snapshot_spine)),
     ]
     return reduce(DataFrame.unionByName, parts)
 

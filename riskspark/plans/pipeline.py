@@ -159,7 +159,10 @@ def validate(spark: SparkSession, ws: Workspace) -> DataFrame:
     parts = [
         quality.check_quotes(quotes), quality.check_claims(claims), quality.check_fraud_signals(_signals(claims)),
         quality.check_spine(claims, quotes), quality.check_presence(spark, paths),
+        quality.check_trio(features.quote_features(quotes), "quotes", "quote_id"),
+        quality.check_trio(features.claim_features(claims, quotes), "claims", "claim_id"),
     ]
+    snapshots = {}
     if "graph_hop_distance" in claims.columns:
         parts.append(quality.check_graph_features(claims))
     try:
@@ -175,8 +178,10 @@ def validate(spark: SparkSession, ws: Workspace) -> DataFrame:
             read(spark, f"{ws.path('snapshots')}/record_type={record_type}")
         except MissingUpstreamTable:
             continue
-        stored = feature_store.read_snapshots(spark, ws.path("snapshots"), record_type)
-        parts.append(quality.check_snapshots(stored, record_type))
+        snapshots[record_type] = feature_store.read_snapshots(spark, ws.path("snapshots"), record_type)
+        parts.append(quality.check_snapshots(snapshots[record_type], record_type))
+    if len(snapshots) == 2:
+        parts.append(quality.check_snapshot_spine(snapshots["claim"], snapshots["quote"]))
     return reduce(DataFrame.unionByName, parts)
 
 
