@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, descent, exact, language, mixing, packing, pii, redirects, simhash, toxicity
+from riskspark.llm import bpe, descent, exact, language, merkle, mixing, packing, pii, redirects, simhash, toxicity
 from riskspark.llm.common import remainder, ship, table
 from riskspark.session import tune
 
@@ -90,3 +90,8 @@ def op4_context_mixing(spark, sf):
 @query()
 def op8_descent(spark, sf):
     return descent.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query(merkle.SQL)
+def op11_merkle(spark, sf):
+    return merkle.verify(table(spark, sf, "documents"))
