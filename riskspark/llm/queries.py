@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, descent, exact, language, merkle, mixing, packing, pii, redirects, simhash, toxicity
+from riskspark.llm import bpe, descent, exact, language, merkle, mixing, packing, pii, redirects, secrets, simhash, toxicity
 from riskspark.llm.common import remainder, ship, table
 from riskspark.session import tune
 
@@ -95,3 +95,8 @@ def op8_descent(spark, sf):
 @query(merkle.SQL)
 def op11_merkle(spark, sf):
     return merkle.verify(table(spark, sf, "documents"))
+
+
+@query()
+def op12_guess_cost(spark, sf):
+    return secrets.report(secrets.find_secrets(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
