@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, descent, exact, language, merkle, mixing, packing, pii, redirects, secrets, simhash, toxicity
+from riskspark.llm import bpe, descent, exact, language, merkle, mixing, packing, pii, redirects, secrets, simhash, toxicity, whitening
 from riskspark.llm.common import remainder, ship, table
 from riskspark.session import tune
 
@@ -100,3 +100,8 @@ def op11_merkle(spark, sf):
 @query()
 def op12_guess_cost(spark, sf):
     return secrets.report(secrets.find_secrets(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query()
+def op13_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
