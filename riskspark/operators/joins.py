@@ -3,29 +3,35 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than this many left rows and more than this share of them,
-# so at most 1 / HOT_SHARE keys can be hot at any table size.
-HOT_ROWS = 1_000_000
-HOT_SHARE = 1 / 2000
+from riskspark.session import materialise
 
+#: No key of fewer left rows is ever split: any task can hold it.
+LEAST_HOT_ROWS = 10_000
 
-def hot_only(counts: DataFrame, weight: str) -> DataFrame:
-    """The rows of ``counts`` for hot keys: fewer than ``1 / HOT_SHARE`` by construction."""
-    total = counts.select(F.sum(weight)).scalar()
-    return counts.where((F.col(weight) > HOT_ROWS) & (F.col(weight) > total * HOT_SHARE))
 
+def hot_only(counts: DataFrame, weight: str, partitions: int) -> DataFrame:
+    """The rows of ``counts`` for hot keys: those with more left rows than one partition's share of all.
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, how: str = "left") -> DataFrame:
+    So at most ``partitions`` keys are hot, and any other key adds less than one share to its task.
+    """
+    total = counts.agg(F.sum(weight)).first()[0] or 0
+    return counts.where(F.col(weight) > max(LEAST_HOT_ROWS, total / partitions))
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, how: str = "left", partitions: int | None = None) -> DataFrame:
     """Join ``left`` to ``right``, which is unique on ``key`` and knows each key's left row count.
 
     Use it where the right side comes from an aggregation: adaptive skew-join splitting needs a
     bare exchange on both sides and does not reach those plans. Rows of hot keys take their match
     from a broadcast table of bounded size and are then spread by ``spread`` over all partitions;
-    the rest take the shuffle join. ``weight`` is a column of ``right``.
+    the rest take the shuffle join. ``weight`` is a column of ``right``, which is written once.
+    ``partitions`` is what the shuffle deals to, by default the session's setting.
     """
+    right = materialise(right, "lookup")
+    partitions = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in right.columns if c != key]
     payload = F.struct(*extra)
-    hot = F.broadcast(hot_only(right, weight).select(F.col(key).alias("_hot_key"), payload.alias("_hot")))
+    hot = F.broadcast(hot_only(right, weight, partitions).select(F.col(key).alias("_hot_key"), payload.alias("_hot")))
     # The weight is at least 1, so every cold row sits on route 0. A hot row's route only chooses
     # the partition it travels to: its match is already there.
     cold = right.select(

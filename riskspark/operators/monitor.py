@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.operators import metrics
+from riskspark.operators.ordered import grouped_quantiles
 
 # Stability bands.
 PSI_WARNING, PSI_CRITICAL = 0.1, 0.25
@@ -17,11 +18,16 @@ def decision_tier(score: Column) -> Column:
     )
 
 
-def baseline_cuts(baseline: DataFrame, features: list[str], bins: int = 10, error: float = 0.001) -> dict[str, list[float]]:
-    """Inner bin edges per feature, from one pass of quantile sketches: bins - 1 numbers each."""
-    fractions = [i / bins for i in range(1, bins)]
-    edges = baseline.approxQuantile(features, fractions, error)
-    return {name: sorted(set(values)) for name, values in zip(features, edges)}
+def baseline_cuts(baseline: DataFrame, features: list[str], bins: int = 10) -> dict[str, list[float]]:
+    """Inner bin edges per feature: exact quantiles of all features in one grouped pass, at most bins - 1 numbers each.
+
+    Nulls and not-a-numbers are left out; a feature without any number has no edge.
+    """
+    cells = F.array(*[F.struct(F.lit(name).alias("feature"), F.col(name).cast("double").alias("value")) for name in features])
+    wanted = {f"q{i}": i / bins for i in range(1, bins)}
+    rows = grouped_quantiles(baseline.select(F.inline(cells)), "value", wanted, ["feature"]).collect()
+    found = {r["feature"]: sorted({r[q] for q in wanted}) for r in rows}
+    return {name: found.get(name, []) for name in features}
 
 
 def psi(baseline: DataFrame, current: DataFrame, cuts: dict[str, list[float]], floor: float = 1e-6) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from riskspark.constants import MAX_HOPS, MODEL_FEATURES, TELEMATICS_SIGNALS
 from riskspark.functions.scoring import policy_tier, rule_risk_score
 from riskspark.functions.values import correlation
-from riskspark.operators import entities, features, graph, metrics, models, monitor, ordered, quality, serving
+from riskspark.operators import components, entities, features, graph, metrics, models, monitor, ordered, quality, serving
 from riskspark.operators.communities import label_communities
+from riskspark.operators.components import connected_components
 from riskspark.plans import oracle as sql
 from riskspark.session import materialise, scratch_path, tune
 from riskspark.sources import feature_store
@@ -313,10 +314,30 @@ QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY n DESC, community) = 1"
 
 
 @query(*_vote_sql(3))
-def communities(spark, sf):
+def label_votes(spark, sf):
+    """Three rounds of votes over the whole graph."""
     return label_communities(_graph(spark, sf)[1], rounds=3)
 
 
+def _ties(edges: DataFrame) -> DataFrame:
+    """Edges that tie claims together: all but representation, as an attorney's clients are no ring."""
+    return edges.where(F.col("rel_type") != "REPRESENTED_BY")
+
+
+@query("SELECT node_id, community FROM communities", "communities")
+def communities(spark, sf):
+    """Claims, claimants, vehicles and contact values that hang together, to a fixed point."""
+    return connected_components(_ties(_graph(spark, sf)[1]))
+
+
+@query("""SELECT community, n_claims, n_fraud, n_entities, round(n_fraud / n_claims, 6) AS fraud_share FROM (
+ SELECT c.community, count(*) FILTER (WHERE label = 'Claim') AS n_claims, count(*) FILTER (WHERE label = 'Claim' AND is_fraud) AS n_fraud,
+ count(*) FILTER (WHERE label = 'Entity') AS n_entities FROM communities c JOIN nodes n ON n.node_id = c.node_id GROUP BY 1) WHERE n_claims >= 2""", "communities nodes")
+def community_risk(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return rounded(components.community_risk(connected_components(_ties(edges)), nodes), "fraud_share")
+
+
 # Profiles, spine and quality ---------------------------------------------------------------------
 
 @query("""SELECT count(*) AS n, count(DISTINCT state) AS states, min(risk_score_at_issuance) AS risk_min, max(risk_score_at_issuance) AS risk_max,
@@ -751,10 +772,29 @@ def _by_outcome(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 @query(_psi_sql(), "quotes")
-def psi(spark, sf):
+def psi_given_cuts(spark, sf):
     return rounded(monitor.psi(*_by_outcome(spark, sf), PSI_CUTS), "psi")
 
 
+PSI_FEATURES = ["risk_score_at_issuance", "annual_mileage_estimate", "telematics_hard_brake_rate", "violation_severity_index", "vehicle_msrp", "driver_age"]
+_PSI_EDGES = ", ".join(f"quantile_cont(value, {i / 10!r}::DOUBLE)" for i in range(1, 10))
+
+
+@query(f"""SELECT * FROM (WITH cells AS (SELECT claim_occurred, feature, value FROM (SELECT claim_occurred, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in PSI_FEATURES)} FROM quotes)
+ UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(PSI_FEATURES)}))),
+edges AS (SELECT feature, list_distinct([{_PSI_EDGES}]) AS cuts FROM cells WHERE NOT claim_occurred AND value IS NOT NULL GROUP BY feature),
+binned AS (SELECT feature, claim_occurred, CASE WHEN value IS NULL THEN -1 ELSE len(list_filter(cuts, lambda e: value >= e)) END AS bin FROM cells JOIN edges USING (feature)),
+counted AS (SELECT feature, bin, count(*) FILTER (WHERE claim_occurred) AS c, count(*) FILTER (WHERE NOT claim_occurred) AS b FROM binned GROUP BY ALL),
+shares AS (SELECT feature, greatest(CAST(1e-6 AS DOUBLE), c / sum(c) OVER (PARTITION BY feature)) AS a, greatest(CAST(1e-6 AS DOUBLE), b / sum(b) OVER (PARTITION BY feature)) AS e FROM counted)
+SELECT feature, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi <= 0.25 THEN 'warning' ELSE 'critical' END AS band
+FROM (SELECT feature, sum((a - e) * ln(a / e)) AS psi FROM shares GROUP BY feature))""", "quotes")
+def psi(spark, sf):
+    """Bins are deciles of the baseline, found exactly."""
+    baseline, current = _by_outcome(spark, sf)
+    baseline = materialise(baseline.select(*PSI_FEATURES), "baseline")
+    return rounded(monitor.psi(baseline, current, monitor.baseline_cuts(baseline, PSI_FEATURES)), "psi")
+
+
 @query(f"""SELECT feature, round(b, 6) AS baseline_rate, round(c, 6) AS current_rate, c - b > 0.05 AS spike FROM ({" UNION ALL ".join(
     f"SELECT '{s}' AS feature, avg(CAST({s} IS NULL AS INT)) FILTER (WHERE NOT claim_occurred) AS b, avg(CAST({s} IS NULL AS INT)) FILTER (WHERE claim_occurred) AS c FROM quotes"
     for s in ["credit_score", *TELEMATICS_SIGNALS])})""", "quotes")

@@ -57,6 +57,8 @@ def entity(kind: str, x: str) -> str:
 
 
 PARTS: dict[str, tuple[str, str]] = {}
+#: How recursive parts begin.
+RECURSIVE: dict[str, str] = {}
 
 
 def part(name: str, needs: str, sql: str) -> None:
@@ -267,6 +269,12 @@ SELECT n.node_id AS claim_id, CAST(coalesce(s.cnt, 0) AS INT) AS shared_attribut
  SELECT a.claim_id, count(DISTINCT a.entity_id) AS cnt FROM claim_entities a JOIN claim_entities b ON a.entity_id = b.entity_id AND a.claim_id <> b.claim_id
  GROUP BY a.claim_id) s ON s.claim_id = n.node_id WHERE n.label = 'Claim'""")
 part("adjacent", "edges", "SELECT src, dst FROM edges UNION SELECT dst, src FROM edges")
+part("ties", "edges", """SELECT src, dst FROM edges WHERE rel_type <> 'REPRESENTED_BY' UNION SELECT dst, src FROM edges WHERE rel_type <> 'REPRESENTED_BY'""")
+RECURSIVE["communities"] = "communities(node_id, community) USING KEY (node_id) AS"
+part("communities", "ties", """
+SELECT src, min(least(src, dst)) FROM ties GROUP BY src
+UNION SELECT t.dst, min(c.community) FROM communities c JOIN ties t ON t.src = c.node_id JOIN recurring.communities k ON k.node_id = t.dst
+ WHERE c.community < k.community GROUP BY t.dst""")
 part("reached_0", "nodes", "SELECT node_id, 0 AS hop FROM nodes WHERE label = 'Claim' AND is_fraud")
 for _hop in range(1, 7):
     part(f"reached_{_hop}", f"reached_{_hop - 1} adjacent", f"""
@@ -314,7 +322,8 @@ def assemble(body: str, needs: str) -> str:
         visit(name)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({PARTS[name][1]})" for name in order) + "\n" + body
+    start = "WITH RECURSIVE " if RECURSIVE.keys() & set(order) else "WITH "
+    return start + ",\n".join(f"{RECURSIVE.get(name, f'{name} AS MATERIALIZED')} ({PARTS[name][1]})" for name in order) + "\n" + body
 
 
 def auc(table: str, label: str, score: str) -> str:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.functions.values import correlation
-from riskspark.operators import metrics, ordered
+from riskspark.operators import metrics, monitor, ordered
 
 RNG = random.Random(3)
 # A third of the rows share one score.
@@ -41,8 +41,9 @@ def test_quantiles_interpolate(spark, scored):
     assert ordered.approximate_quantiles(four, "v", {"q": 0.5}).first().q in (2.0, 3.0)
 
 
-def test_running_totals_equal_a_sorted_sum(scored):
-    got = {r.p: (r.n, r.n_before) for r in ordered.running_totals(scored, "p", {"n": F.count(F.lit(1))}).collect()}
+@pytest.mark.parametrize("range_rows", [ordered.RANGE_ROWS, 20])
+def test_running_totals_equal_a_sorted_sum(scored, range_rows):
+    got = {r.p: (r.n, r.n_before) for r in ordered.running_totals(scored, "p", {"n": F.count(F.lit(1))}, range_rows=range_rows).collect()}
     before = 0
     for value in sorted(got):
         count = sum(p == value for _, p in SCORED)
@@ -90,3 +91,26 @@ def test_correlation_of_a_constant_is_null(spark):
 def test_constants_stay_constant_across_partitions(spark):
     df = spark.range(0, 10000, 1, 16).selectExpr("0.1D AS k", "cast(id % 7 AS double) AS y")
     assert df.select(correlation(F.col("k"), F.col("y"))).first()[0] is None
+
+
+@pytest.mark.parametrize("range_rows", [ordered.RANGE_ROWS, 40])
+def test_quantiles_of_many_columns_in_one_pass(spark, range_rows):
+    rng = random.Random(8)
+    rows = [("abc"[i % 3], None if i % 17 == 0 else float("nan") if i % 23 == 0 else rng.choice([1.5, rng.gauss(0, 1)])) for i in range(900)] + [("none", None)]
+    wanted = {"q1": 0.1, "q5": 0.5, "q9": 0.9}
+    found = ordered.grouped_quantiles(spark.createDataFrame(rows, "f string, v double"), "v", wanted, ["f"], range_rows).collect()
+    assert {r.f for r in found} == {"a", "b", "c"}
+    for r in found:
+        values = [v for f, v in rows if f == r.f and v is not None and v == v]
+        for name, q in wanted.items():
+            assert r[name] == pytest.approx(np.quantile(values, q))
+
+
+def test_psi_bins_come_from_the_baseline(spark):
+    baseline = spark.range(1000).selectExpr("cast(id AS double) AS a", "if(id % 4 = 0, NULL, cast(id % 2 AS double)) AS b", "cast(NULL AS double) AS c")
+    cuts = monitor.baseline_cuts(baseline, ["a", "b", "c"], bins=4)
+    assert cuts == {"a": [249.75, 499.5, 749.25], "b": [0.0, 1.0], "c": []}
+    same = {r.feature: (r.psi, r.band) for r in monitor.psi(baseline, baseline, cuts).collect()}
+    assert all(v == (pytest.approx(0), "stable") for v in same.values())
+    moved = {r.feature: r.band for r in monitor.psi(baseline, baseline.withColumn("a", F.col("a") / 3), cuts).collect()}
+    assert moved["a"] == "critical" and moved["b"] == "stable"
