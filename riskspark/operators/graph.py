@@ -149,7 +149,7 @@ def shared_entities(edges: DataFrame) -> DataFrame:
 
 
 def load_report(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Claims, entities, share edges and entities behind more than one claim, as one row."""
+    """Claims, those without a vehicle, entities, share edges and entities behind more than one claim, as one row."""
     shares = F.col("rel_type") == "SHARES"
     report = edges.agg(
         F.count_if(shares).alias("share_edges"),
@@ -157,6 +157,7 @@ def load_report(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFram
     )
     return report.withColumns({
         "claims": rows.agg(F.count(F.lit(1))).scalar(),
+        "claims_without_vehicle": claims_without_vehicle(rows).agg(F.count(F.lit(1))).scalar(),
         "entities": nodes.where(F.col("label") == "Entity").agg(F.count(F.lit(1))).scalar(),
         "entities_shared": entity_claims(edges).agg(F.count_if(F.col("n_claims") > 1)).scalar(),
     })

@@ -18,6 +18,8 @@ from riskspark.constants import (
 from riskspark.functions.values import correlation
 
 EXAMPLES = 5
+NODE_LABELS = ["Claimant", "Claim", "Attorney", "Vehicle", "Entity"]
+RELATIONSHIPS = ["FILED", "REPRESENTED_BY", "INVOLVES", "SHARES"]
 CHECK_COLUMNS = ["check_id", "dataset", "status", "observed", "threshold", "n_bad", "examples"]
 
 
@@ -156,6 +158,7 @@ def check_graph_features(claims: DataFrame) -> DataFrame:
     real_hop = F.when(~sentinel, hop)
     rules = [
         Rule("V9", "0.2/0.5", observed=_share(sentinel), status=grade(fail=lambda o: o > 0.5, warn=lambda o: o > 0.2)),
+        Rule("V9_min", "info", observed=F.min(real_hop), status=info),
         Rule("V9_median", "info", observed=F.median(real_hop), status=info),
         Rule("V9_max", "info", observed=F.max(real_hop), status=info),
         Rule("V10", "[0,1]", (central < 0) | (central > 1)),
@@ -190,7 +193,24 @@ def check_graph_topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ),
         Rule("V14", "0", claimant & (F.col("degree") == 0), status=warn_on_rows),
     ]
-    return run_rules(per_node, "graph", "node_id", rules)
+    return run_rules(per_node, "graph", "node_id", rules).unionByName(check_graph_counts(nodes, edges))
+
+
+def check_graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row for each label and relationship type the graph can have, with its number of nodes or edges."""
+
+    def counted(rows: DataFrame, column: str, kinds: list[str], prefix: str) -> DataFrame:
+        one = rows.agg(*[F.count_if(F.col(column) == kind).alias(kind) for kind in kinds])
+        cells = F.array(*[F.struct(F.lit(f"{prefix}_{kind}").alias("check_id"), F.col(kind).cast("double").alias("observed")) for kind in kinds])
+        return one.select(F.inline(cells))
+
+    # Bare pairs of ends have no type to count by.
+    typed = edges if "rel_type" in edges.columns else edges.withColumn("rel_type", F.lit(None).cast("string"))
+    found = counted(nodes, "label", NODE_LABELS, "V12_nodes").unionByName(counted(typed, "rel_type", RELATIONSHIPS, "V12_edges"))
+    return found.select(
+        "check_id", F.lit("graph").alias("dataset"), F.lit("INFO").alias("status"), "observed", F.lit("info").alias("threshold"),
+        F.lit(None).cast("bigint").alias("n_bad"), F.lit(None).cast("string").alias("examples"),
+    )
 
 
 def check_entities(vehicles: DataFrame, persons: DataFrame, addresses: DataFrame, phones: DataFrame, policies: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ from riskspark.functions.values import correlation
 from riskspark.operators import components, entities, features, graph, metrics, models, monitor, ordered, quality, serving
 from riskspark.operators.communities import label_communities
 from riskspark.operators.components import connected_components
+from riskspark import schemas
 from riskspark.plans import oracle as sql
 from riskspark.session import materialise, scratch_path, tune
-from riskspark.sources import feature_store
+from riskspark.sources import feature_store, graph_store
 from riskspark.sources import fixture as fx
 from riskspark.streaming import bursts
 from riskspark.streaming import features as live
@@ -217,6 +218,31 @@ def graph_edges(spark, sf):
     return graph.graph_edges(_graph_rows(spark, sf))
 
 
+def _upserted(spark, sf) -> str:
+    """The graph in two batches. The first brings half of the claims, a tenth of them in an older state; the second the rest and
+    those again as they are now. Attorneys, vehicles and contact values come in both. One batch is delivered twice."""
+    rows = materialise(_graph_rows(spark, sf), "rows")
+    turn = F.pmod(F.crc32("claim_id"), F.lit(20))
+    older = rows.where(turn < 10).withColumns({"is_fraud": F.when(turn == 0, ~F.col("is_fraud")).otherwise(F.col("is_fraud")), "state": F.when(turn == 0, "??").otherwise(F.col("state"))})
+    path = scratch_path(spark, "graph-store")
+    for batch_id, batch in ((0, older), (1, rows.where((turn >= 10) | (turn == 0))), (0, older)):
+        graph_store.upsert(graph.graph_nodes(batch), graph.graph_edges(batch), path, batch_id)
+    return path
+
+
+@query("SELECT * FROM nodes", "nodes")
+def graph_upsert_nodes(spark, sf):
+    return graph_store.nodes(spark, _upserted(spark, sf))
+
+
+@query("SELECT * FROM edges", "edges")
+def graph_upsert_edges(spark, sf):
+    """Read after compaction."""
+    path, target = _upserted(spark, sf), scratch_path(spark, "graph-compact")
+    graph_store.compact(spark, path, target)
+    return graph_store.edges(spark, target)
+
+
 @query("SELECT label, count(*) AS n FROM nodes GROUP BY label", "nodes")
 def node_counts(spark, sf):
     return graph.node_counts(graph.graph_nodes(_graph_rows(spark, sf)))
@@ -245,7 +271,7 @@ def shared_entities(spark, sf):
     return graph.shared_entities(graph.graph_edges(_graph_rows(spark, sf)))
 
 
-@query("""SELECT (SELECT count(*) FROM graph_rows) AS claims, (SELECT count(*) FROM nodes WHERE label = 'Entity') AS entities,
+@query("""SELECT (SELECT count(*) FROM graph_rows) AS claims, (SELECT count(*) FROM graph_rows WHERE vin IS NULL) AS claims_without_vehicle, (SELECT count(*) FROM nodes WHERE label = 'Entity') AS entities,
  (SELECT count(*) FROM edges WHERE rel_type = 'SHARES') AS share_edges, (SELECT count(*) FROM claim_entities) AS claim_share_edges,
  (SELECT count(*) FROM shared_entities) AS entities_shared""", "graph_rows nodes edges claim_entities shared_entities")
 def graph_load_report(spark, sf):
@@ -410,16 +436,19 @@ def quality_graph_topology(spark, sf):
     return quality.check_graph_topology(*_graph(spark, sf))
 
 
-@quality_query("quality_entities")
-def quality_entities(spark, sf):
-    quotes, contacts = fx.quotes(spark, sf), fx.contacts(spark, sf)
+def _entity_checks(quotes: DataFrame, contacts: DataFrame, claimants: DataFrame) -> DataFrame:
     return quality.check_entities(
-        entities.vehicles(quotes), entities.persons(entities.person_links(contacts, fx.claimants(spark, sf))),
+        entities.vehicles(quotes), entities.persons(entities.person_links(contacts, claimants)),
         entities.addresses(entities.address_links(contacts)), entities.phones(entities.phone_links(contacts)),
         entities.policies(quotes, F.lit(AS_OF)),
     )
 
 
+@quality_query("quality_entities")
+def quality_entities(spark, sf):
+    return _entity_checks(fx.quotes(spark, sf), fx.contacts(spark, sf), fx.claimants(spark, sf))
+
+
 @quality_query("quality_spine")
 def quality_spine(spark, sf):
     quotes = fx.quotes(spark, sf)
@@ -437,7 +466,12 @@ def quality_fraud_signals(spark, sf):
 
 @quality_query("quality_trio")
 def quality_trio(spark, sf):
-    return quality.check_trio(features.quote_features(fx.quotes(spark, sf)), "quotes", "quote_id")
+    return _trio_checks(fx.quotes(spark, sf), fx.claims(spark, sf))
+
+
+def _trio_checks(quotes: DataFrame, claims: DataFrame) -> DataFrame:
+    on_quotes = quality.check_trio(features.quote_features(quotes), "quotes", "quote_id")
+    return on_quotes.unionByName(quality.check_trio(features.claim_features(claims, quotes), "claims", "claim_id"))
 
 
 @quality_query("quality_quote_snapshots")
@@ -474,16 +508,24 @@ _CHECK_GROUPS = [
     " ".join(sql.QUALITY[name][1] for name in _CHECK_GROUPS),
 )
 def quality_checks(spark, sf):
-    """Every group of rules; quotes and enriched claims are written once and then read by their rules."""
+    """Every group of rules over tables that are written once: quotes, the graph, the enriched claims and both kinds of snapshots."""
     quotes = materialise(fx.quotes(spark, sf), "quotes")
-    claims = materialise(_with_availability(_enriched(spark, sf)), "claims")
-    parts = [
+    contacts = fx.contacts(spark, sf)
+    rows = materialise(graph.resolve_graph_input(fx.graph_claims(spark, sf, quotes), unique_claims=True), "rows")
+    nodes, edges = materialise(graph.graph_nodes(rows), "nodes"), materialise(graph.graph_edges(rows), "edges")
+    found = graph.graph_features(nodes, edges, MAX_HOPS)
+    claims = materialise(_with_availability(graph.merge_graph_features(fx.claims(spark, sf, quotes), found)), "claims")
+    quote_snapshots = materialise(features.snapshots(features.quote_features(quotes), "quote", F.lit(STAMP)), "snapshots")
+    claim_snapshots = materialise(features.snapshots(features.claim_features(claims, quotes), "claim", F.lit(STAMP)), "snapshots")
+    return reduce(DataFrame.unionByName, [
         quality.check_quotes(quotes), quality.check_claims(claims), quality.check_graph_features(claims),
-        quality.check_fraud_signals(claims), quality.check_spine(claims, quotes),
-        *(group(spark, sf) for group in (
-            quality_graph_topology, quality_entities, quality_trio, quality_quote_snapshots, quality_claim_snapshots, quality_snapshot_spine)),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        quality.check_fraud_signals(claims), quality.check_spine(claims, quotes), quality.check_graph_topology(nodes, edges),
+        _entity_checks(quotes, contacts, fx.claimants(spark, sf)),
+        quality.check_trio(quote_snapshots.select("quote_id", "features.*"), "quotes", "quote_id"),
+        quality.check_trio(claim_snapshots.select(F.col("record_id").alias("claim_id"), "features.*"), "claims", "claim_id"),
+        quality.check_snapshots(quote_snapshots, "quote"), quality.check_snapshots(claim_snapshots, "claim"),
+        quality.check_snapshot_spine(claim_snapshots, quote_snapshots),
+    ])
 
 
 # Metrics -----------------------------------------------------------------------------------------
@@ -736,6 +778,93 @@ def online_delete(spark, sf):
     return _shown(serving.without_keys(latest, keys))
 
 
+def _stored_snapshots(spark, sf) -> str:
+    """Quote snapshots in two batches, the first delivered twice."""
+    path = scratch_path(spark, "snapshots")
+    rows = materialise(features.snapshots(features.quote_features(fx.quotes(spark, sf)), "quote", F.lit(STAMP)), "snapshots")
+    half = F.pmod(F.crc32("record_id"), F.lit(2))
+    for batch_id in (0, 1, 0):
+        feature_store.write_snapshots(rows.where(half == batch_id), path, "quote", batch_id)
+    return path
+
+
+@query(f"SELECT quote_id {_ENVELOPE.format('quote', 'true')}, {_VECTOR} FROM quote_vectors", "quote_vectors")
+def snapshot_round_trip(spark, sf):
+    return _flat_snapshot(feature_store.read_snapshots(spark, _stored_snapshots(spark, sf), "quote"))
+
+
+@query(f"SELECT quote_id {_ENVELOPE.format('quote', 'true')}, {_VECTOR} FROM quote_vectors WHERE quote_id = (SELECT max(quote_id) FROM quotes)", "quote_vectors quotes")
+def snapshot_point_read(spark, sf):
+    """The snapshot of the last quote, found by id and type."""
+    path = _stored_snapshots(spark, sf)
+    last = fx.quotes(spark, sf).agg(F.max("quote_id")).first()[0]
+    return _flat_snapshot(feature_store.read_snapshot(spark, path, last, "quote", "v1.0.0"))
+
+
+_BROKEN = "CAST(substr(quote_id, 3) AS INT)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS check_id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n AS n_bad FROM (SELECT count(*) AS n FROM quote_vectors WHERE {bad})" for rule, bad in (
+    ("V30", f"{_BROKEN} % 50 IN (0, 1)"), ("V31", f"{_BROKEN} % 50 = 2"), ("V32", f"{_BROKEN} % 50 = 3"), ("V33", "false"), ("V34", "false"), ("V35", "false"), ("V36", "false"))), "quote_vectors")
+def snapshot_tolerant_read(spark, sf):
+    """Rules over JSON lines of which some are cut off, lack a key, have another version or lack a feature."""
+    path = scratch_path(spark, "snapshots-json")
+    rows = features.snapshots(features.quote_features(fx.quotes(spark, sf)), "quote", F.lit(STAMP)).drop("record_type")
+    turn = F.substring("quote_id", 3, 9).cast("int") % 50
+    line = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    broken = (
+        F.when(turn == 0, F.substring(line, 1, 60)).when(turn == 1, F.replace(line, F.lit('"timestamp":'), F.lit('"time":')))
+        .when(turn == 2, F.replace(line, F.lit('"v1.0.0"'), F.lit('"v0.9.0"'))).when(turn == 3, F.replace(line, F.lit('"driver_age":'), F.lit('"age":'))).otherwise(line))
+    rows.select(broken.alias("value")).write.text(f"{path}/record_type=quote/batch_id=0")
+    return quality.check_snapshots(feature_store.read_snapshots_json(spark, path, "quote"), "quote").select("check_id", "status", "n_bad")
+
+
+def _online_store(spark, sf) -> str:
+    """Events as online rows in three batches, one of them replayed; keys with a costly error are then deleted."""
+    path = scratch_path(spark, "online")
+    # Of one moment's events for a key the greatest id stands, as its text comes first in the features.
+    rows = _online_rows(spark, sf).select(
+        "key", F.format_string("%012d:%s", "version", "features").alias("features"), F.col("updated_at").cast("timestamp").alias("updated_at"),
+        F.col("expires_at").cast("timestamp").alias("expires_at"))
+    turn = F.pmod(F.crc32("features"), F.lit(3))
+    for batch_id in (0, 1, 2, 0):
+        feature_store.upsert(rows.where(turn == batch_id), path, batch_id)
+    flagged = fx.table(spark, sf, "events").where((F.col("event_type") == "error") & (F.col("value") > 400))
+    feature_store.delete(flagged.select(F.col("user_id").cast("string").alias("key")), path, 3, F.lit("2030-01-01 00:00:00"))
+    return path
+
+
+_ONLINE_SQL = f"""SELECT key, printf('%012d:%s', version, features) AS features, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM {_LATEST} WHERE updated_at + INTERVAL 6 HOUR > TIMESTAMP '{ONLINE_AT}'
+ AND key NOT IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error' AND value > 400)"""
+
+
+@query(_ONLINE_SQL)
+def online_round_trip(spark, sf):
+    return _shown(feature_store.online_view(spark, _online_store(spark, sf), F.lit(ONLINE_AT)))
+
+
+@query(f"SELECT * FROM ({_ONLINE_SQL}) WHERE key = (SELECT min(key) FROM ({_ONLINE_SQL}))")
+def online_point_get(spark, sf):
+    """The first live key's row, found by key after compaction."""
+    path, target = _online_store(spark, sf), scratch_path(spark, "online-compact")
+    feature_store.compact(spark, path, target, F.lit(ONLINE_AT).cast("timestamp"))
+    key = feature_store.online_view(spark, target, F.lit(ONLINE_AT)).agg(F.min("key")).first()[0]
+    return _shown(feature_store.get(spark, target, key or "", F.lit(ONLINE_AT)))
+
+
+@query("SELECT 'V15' AS check_id, dataset, CASE WHEN dataset = 'policies' THEN 'FAIL' ELSE 'PASS' END AS status FROM (VALUES ('vehicles'), ('persons'), ('addresses'), ('phones'), ('policies')) t(dataset)")
+def quality_presence(spark, sf):
+    """Entity tables written from the data, one of them not."""
+    root, contacts = scratch_path(spark, "entities"), fx.contacts(spark, sf)
+    tables = {
+        "vehicles": entities.vehicles(fx.quotes(spark, sf)), "persons": entities.persons(entities.person_links(contacts, fx.claimants(spark, sf))),
+        "addresses": entities.addresses(entities.address_links(contacts)), "phones": entities.phones(entities.phone_links(contacts)),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{root}/{name}")
+    return quality.check_presence(spark, {name: f"{root}/{name}" for name in (*tables, "policies")}).select("check_id", "dataset", "status")
+
+
 # Monitoring --------------------------------------------------------------------------------------
 
 @query("""SELECT CASE WHEN risk_score_at_issuance < 0.25 THEN 'stp' WHEN risk_score_at_issuance < 0.6 THEN 'evidence'

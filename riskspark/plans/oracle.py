@@ -375,6 +375,7 @@ QUALITY: dict[str, tuple[list[str], str]] = {
     ], "claims"),
     "quality_graph_features": ([
         value_rule("V9", "graph_features", "claims_enriched", share("graph_hop_distance = 999"), "0.2/0.5", "WHEN o > 0.5 THEN 'FAIL' WHEN o > 0.2 THEN 'WARN' ELSE 'PASS'"),
+        value_rule("V9_min", "graph_features", "claims_enriched", "min(graph_hop_distance) FILTER (WHERE graph_hop_distance <> 999)", "info", "ELSE 'INFO'"),
         value_rule("V9_median", "graph_features", "claims_enriched", "median(graph_hop_distance) FILTER (WHERE graph_hop_distance <> 999)", "info", "ELSE 'INFO'"),
         value_rule("V9_max", "graph_features", "claims_enriched", "max(graph_hop_distance) FILTER (WHERE graph_hop_distance <> 999)", "info", "ELSE 'INFO'"),
         row_rule("V10", "graph_features", "claims_enriched", "claim_id", "attorney_centrality_score < 0 OR attorney_centrality_score > 1", "[0,1]"),
@@ -383,6 +384,8 @@ QUALITY: dict[str, tuple[list[str], str]] = {
     ], "claims_enriched"),
     "quality_graph_topology": ([
         value_rule("V12_nodes", "graph", "nodes", "count(DISTINCT node_id)", ">0", "WHEN o = 0 THEN 'FAIL' ELSE 'PASS'"),
+        *(value_rule(f"V12_nodes_{label}", "graph", "nodes", f"count(*) FILTER (WHERE label = '{label}')", "info", "ELSE 'INFO'") for label in ("Claimant", "Claim", "Attorney", "Vehicle", "Entity")),
+        *(value_rule(f"V12_edges_{kind}", "graph", "edges", f"count(*) FILTER (WHERE rel_type = '{kind}')", "info", "ELSE 'INFO'") for kind in ("FILED", "REPRESENTED_BY", "INVOLVES", "SHARES")),
         value_rule("V12_edge_ends", "graph", "edges", "count(*) * 2", ">0", "WHEN o = 0 THEN 'FAIL' ELSE 'PASS'"),
         value_rule("V13", "graph", "nodes", "count(*) FILTER (WHERE label = 'Claimant' AND is_fraud)", "5", "WHEN o = 0 THEN 'FAIL' WHEN o < 5 THEN 'WARN' ELSE 'PASS'"),
         row_rule("V14", "graph", "nodes", "node_id", "label = 'Claimant' AND node_id NOT IN (SELECT src FROM edges) AND node_id NOT IN (SELECT dst FROM edges)", "0", "WARN"),
@@ -436,7 +439,8 @@ _TRIO_BAD = {
 }
 _ANY_TRIO = " OR ".join(f"({v})" for v in _TRIO_BAD.values())
 QUALITY["quality_trio"] = (
-    [row_rule(f"V21_{k}", "quotes", "quote_vectors", "quote_id", v, "0") for k, v in _TRIO_BAD.items()], "quote_vectors",
+    [row_rule(f"V21_{k}", "quotes", "quote_vectors", "quote_id", v, "0") for k, v in _TRIO_BAD.items()]
+    + [row_rule(f"V21_{k}", "claims", "claim_vectors", "claim_id", v, "0") for k, v in _TRIO_BAD.items()], "quote_vectors claim_vectors",
 )
 QUALITY["quality_quote_snapshots"] = ([
     row_rule("V30", "quote_snapshots", "quote_vectors", "quote_id", "quote_id IS NULL", "complete"),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from riskspark import schemas
 from riskspark.constants import MAX_HOPS
 from riskspark.operators import entities, features, graph, metrics, models, quality
-from riskspark.sources import feature_store
+from riskspark.session import materialise
+from riskspark.sources import feature_store, graph_store
 from riskspark.sources.tables import MissingUpstreamTable, read, write
 
 ENTITY_TABLES = ["vehicles", "persons", "addresses", "phones", "policies"]
@@ -52,30 +53,37 @@ def resolve_entities(spark: SparkSession, ws: Workspace, as_of: date) -> None:
     write(entities.policies(quotes, F.lit(as_of)), ws.entity("policies"))
 
 
-def build_graph(spark: SparkSession, ws: Workspace) -> DataFrame:
-    """Write node and edge tables from ``graph_claims``; returns the load report."""
-    claims = read(spark, ws.path("graph_claims"), upstream="the claim load")
+def build_graph(spark: SparkSession, ws: Workspace, batch_id: int = 0, claims: DataFrame | None = None) -> DataFrame:
+    """Upsert a batch of claims (``graph_claims`` by default) into the graph; returns the load report.
+
+    Nodes and edges that earlier batches brought are met by key: a batch may repeat them or bring newer properties.
+    The report counts the batch's claims and the whole graph's entities and edges.
+    """
+    if claims is None:
+        claims = read(spark, ws.path("graph_claims"), upstream="the claim load")
     vehicles = read(spark, ws.entity("vehicles"), schemas.VEHICLES, "resolve_entities")
-    write(graph.resolve_graph_input(claims, vehicles), ws.path("graph/rows"))
-    rows = read(spark, ws.path("graph/rows"))
-    write(graph.graph_nodes(rows), ws.path("graph/nodes"), ["label"])
-    write(graph.graph_edges(rows), ws.path("graph/edges"), ["rel_type"])
+    batch = ws.path(f"graph_rows/batch_id={batch_id}")
+    write(graph.resolve_graph_input(claims, vehicles), batch)
+    rows = read(spark, batch)
+    graph_store.upsert(graph.graph_nodes(rows), graph.graph_edges(rows), ws.path("graph"), batch_id)
     return graph.load_report(rows, *graph_tables(spark, ws))
 
 
 def graph_tables(spark: SparkSession, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    return (
-        read(spark, ws.path("graph/nodes"), upstream="build_graph"),
-        read(spark, ws.path("graph/edges"), upstream="build_graph"),
-    )
+    """Nodes and edges of all batches, merged."""
+    try:
+        return graph_store.nodes(spark, ws.path("graph")), graph_store.edges(spark, ws.path("graph"))
+    except MissingUpstreamTable as error:
+        raise MissingUpstreamTable(f"{ws.path('graph')} not found: run build_graph first") from error
 
 
 def compute_graph_features(spark: SparkSession, ws: Workspace, max_hops: int = MAX_HOPS) -> None:
     """Write ``claims_enriched``: the claims with fresh graph columns. The claims stay as they are."""
-    nodes, edges = graph_tables(spark, ws)
-    write(graph.graph_features(nodes, edges, max_hops), ws.path("graph/features"))
+    # Merged once, then read by every feature.
+    nodes, edges = (materialise(table, "graph") for table in graph_tables(spark, ws))
+    write(graph.graph_features(nodes, edges, max_hops), ws.path("graph_features"))
     claims = read(spark, ws.path("claims"), upstream="the claim load")
-    found = read(spark, ws.path("graph/features"), schemas.GRAPH_FEATURES)
+    found = read(spark, ws.path("graph_features"), schemas.GRAPH_FEATURES)
     write(graph.merge_graph_features(claims, found), ws.path("claims_enriched"))
 
 
@@ -102,7 +110,8 @@ def offline_features(spark: SparkSession, ws: Workspace, as_of, online: bool = F
         feature_store.write_snapshots(snapshots, ws.path("snapshots"), record_type, batch_id)
         counts.append(counted.get["n"])
         if online:
-            stored = feature_store.read_snapshots(spark, ws.path("snapshots"), record_type)
+            # This batch alone: older ones were served under their own ids.
+            stored = feature_store.read_snapshots(spark, ws.path("snapshots"), record_type, batch_id)
             feature_store.upsert(feature_store.to_online_rows(stored), ws.path(f"online/{record_type}"), batch_id)
     return counts[0], counts[1]
 
@@ -180,6 +189,14 @@ def validate(spark: SparkSession, ws: Workspace) -> DataFrame:
             continue
         snapshots[record_type] = feature_store.read_snapshots(spark, ws.path("snapshots"), record_type)
         parts.append(quality.check_snapshots(snapshots[record_type], record_type))
+    for record_type in ("quote", "claim"):
+        # Snapshots that other systems delivered as JSON lines: broken ones become rows of the same rules.
+        try:
+            loaded = feature_store.read_snapshots_json(spark, ws.path("snapshots_json"), record_type)
+        except MissingUpstreamTable:
+            continue
+        found = quality.check_snapshots(loaded, record_type)
+        parts.append(found.withColumn("dataset", F.concat("dataset", F.lit("_json"))))
     if len(snapshots) == 2:
         parts.append(quality.check_snapshot_spine(snapshots["claim"], snapshots["quote"]))
     return reduce(DataFrame.unionByName, parts)

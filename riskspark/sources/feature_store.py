@@ -1,11 +1,14 @@
 """Snapshot tables (offline) and the keyed serving table (online)."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark import schemas
+from riskspark.functions.values import nan_to_null
 from riskspark.operators.serving import latest_per_key, to_online_rows, unexpired
+from riskspark.sources.tables import MissingUpstreamTable
 
 FEATURE_SCHEMAS = {"quote": schemas.QUOTE_FEATURES, "claim": schemas.CLAIM_FEATURES}
 REQUIRED = {"quote": schemas.REQUIRED_QUOTE_FEATURES, "claim": schemas.REQUIRED_CLAIM_FEATURES}
@@ -15,8 +18,9 @@ def write_snapshots(snapshots: DataFrame, path: str, record_type: str, batch_id:
     """Add one batch of snapshots of one type; returns the batch's folder.
 
     A batch owns its folder and overwrites it, so a replay changes nothing and older batches stay.
+    Not-a-numbers are stored as nulls.
     """
-    writer = snapshots.drop("record_type").write.format(fmt).mode("overwrite")
+    writer = nan_to_null(snapshots.drop("record_type")).write.format(fmt).mode("overwrite")
     if fmt == "json":
         writer = writer.option("ignoreNullFields", "false")
     folder = f"{path}/record_type={record_type}/batch_id={batch_id}"
@@ -24,10 +28,12 @@ def write_snapshots(snapshots: DataFrame, path: str, record_type: str, batch_id:
     return folder
 
 
-def read_snapshots(spark: SparkSession, path: str, record_type: str) -> DataFrame:
+def read_snapshots(spark: SparkSession, path: str, record_type: str, batch_id: int | None = None) -> DataFrame:
+    """All snapshots of a type, or those of one batch: then only its folder is read."""
     schema = schemas.snapshot(FEATURE_SCHEMAS[record_type])
     stored = T.StructType([f for f in schema if f.name != "record_type"])
-    rows = spark.read.schema(stored).parquet(f"{path}/record_type={record_type}")
+    batch = "" if batch_id is None else f"/batch_id={batch_id}"
+    rows = spark.read.schema(stored).parquet(f"{path}/record_type={record_type}{batch}")
     return rows.withColumn("record_type", F.lit(record_type)).select(schema.names)
 
 
@@ -43,7 +49,13 @@ def read_snapshots_json(spark: SparkSession, path: str, record_type: str) -> Dat
     A line that is no JSON keeps its text in ``_corrupt``; missing keys are listed, since a parsed
     null cannot be told from an absent key.
     """
-    lines = spark.read.text(f"{path}/record_type={record_type}").select("value")
+    folder = f"{path}/record_type={record_type}"
+    try:
+        lines = spark.read.text(folder).select("value")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise MissingUpstreamTable(f"{folder} not found: nothing was delivered there") from error
     schema = schemas.snapshot(FEATURE_SCHEMAS[record_type])
     parsed = F.from_json("value", T.StructType([*schema, T.StructField("_corrupt", T.StringType())]), {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",

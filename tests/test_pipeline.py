@@ -3,6 +3,7 @@ from datetime import date, datetime
 import pytest
 
 from riskspark.plans import pipeline
+from riskspark.sources import feature_store
 from riskspark.sources import fixture as fx
 from riskspark.sources.tables import MissingUpstreamTable, read, write
 
@@ -20,12 +21,27 @@ def test_steps_build_on_each_other(spark, sf_dir, tmp_path):
     pipeline.resolve_entities(spark, ws, date(2024, 6, 30))
     report = pipeline.build_graph(spark, ws).first()
     assert report.claims == read(spark, ws.path("claims")).count() and report.entities_shared > 0
+    # Part of the claims once more, as a later batch: the graph stays as it is.
+    before = [table.count() for table in pipeline.graph_tables(spark, ws)]
+    pipeline.build_graph(spark, ws, 1, read(spark, ws.path("graph_claims")).where("claim_id < 'C-000000500'"))
+    assert [table.count() for table in pipeline.graph_tables(spark, ws)] == before
     pipeline.compute_graph_features(spark, ws)
     enriched = read(spark, ws.path("claims_enriched"))
     assert enriched.where("graph_hop_distance IS NULL").isEmpty() and enriched.count() == report.claims
     counts = pipeline.offline_features(spark, ws, datetime(2024, 6, 30), online=True)
     assert counts == (quotes.count(), report.claims)
+    # A later batch serves its own rows only.
+    write(quotes.limit(10), ws.path("more/quotes"))
+    more = pipeline.Workspace(ws.path("more"))
+    for name in ("claims_enriched", "entities/vehicles"):
+        write(read(spark, ws.path(name)), more.path(name))
+    first = feature_store.write_snapshots(feature_store.read_snapshots(spark, ws.path("snapshots"), "quote"), more.path("snapshots"), "quote", 0)
+    assert read(spark, first).count() == counts[0]
+    pipeline.offline_features(spark, more, datetime(2024, 7, 1), online=True, batch_id=1)
+    assert read(spark, more.path("online/quote/batch_id=1")).count() == 10
+    feature_store.write_snapshots(feature_store.read_snapshots(spark, ws.path("snapshots"), "quote"), ws.path("snapshots_json"), "quote", 0, "json")
     checks = pipeline.validate(spark, ws)
+    assert checks.where("dataset = 'quote_snapshots_json' AND check_id = 'V30' AND n_bad = 0").count() == 1
     failed = {r.check_id for r in checks.where("status = 'FAIL'").collect()}
     # The fixture leaves claims unreachable and draws its signals at random; nothing else may fail.
     assert all(c.startswith(("V24_", "V25_", "V9", "V29")) for c in failed), failed

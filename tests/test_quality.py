@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskspark.operators import features, graph, quality
+from riskspark.operators import features, graph, monitor, quality
 from riskspark.sources import fixture as fx
 from riskspark.sources.fixture import quotes as fixture_quotes
 
@@ -74,3 +74,21 @@ def test_presence(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "here"))
     found = quality.check_presence(spark, {"here": str(tmp_path / "here"), "gone": str(tmp_path / "gone")}).collect()
     assert {r.dataset: r.status for r in found} == {"here": "PASS", "gone": "FAIL"}
+
+
+def test_topology_counts_by_label_and_type(spark):
+    nodes = spark.createDataFrame([("c", "Claim", True), ("p", "Claimant", True), ("lone", "Claimant", False)], "node_id string, label string, is_fraud boolean")
+    edges = spark.createDataFrame([("p", "c", "FILED")], "src string, dst string, rel_type string")
+    found = {r.check_id: (r.status, r.observed) for r in quality.check_graph_topology(nodes, edges).collect()}
+    assert found["V12_nodes_Claimant"] == ("INFO", 2.0) and found["V12_nodes_Vehicle"] == ("INFO", 0.0) and found["V12_edges_FILED"] == ("INFO", 1.0)
+    assert found["V14"][0] == "WARN" and found["V13"][0] == "WARN"
+    empty = {r.check_id: r.status for r in quality.check_graph_topology(nodes.limit(0), edges.limit(0)).collect()}
+    assert empty["V12_nodes"] == empty["V12_edge_ends"] == empty["V13"] == "FAIL"
+
+
+def test_schema_drift_lists_changed_columns(spark):
+    old = spark.createDataFrame([], "a int, b string, c double")
+    new = spark.createDataFrame([], "a bigint, c double, d date")
+    found = {r.column_name: (r.baseline_type, r.current_type) for r in monitor.schema_drift(old, new).collect()}
+    assert found == {"a": ("int", "bigint"), "b": ("string", None), "d": (None, "date")}
+    assert monitor.schema_drift(old, old).isEmpty()
