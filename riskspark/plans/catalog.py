@@ -1,10 +1,10 @@
 """Registered queries over the test tables, each with its SQL twin where there is one."""
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.constants import MAX_HOPS, MODEL_FEATURES, TELEMATICS_SIGNALS
@@ -18,7 +18,7 @@ from riskspark.plans import oracle as sql
 from riskspark.session import materialise, scratch_path, tune
 from riskspark.sources import feature_store, graph_store
 from riskspark.sources import fixture as fx
-from riskspark.streaming import bursts
+from riskspark.streaming import bursts, late
 from riskspark.streaming import features as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1035,13 +1035,26 @@ def stream_claim_features(spark, sf):
     return _drain(spark, live.claim_feature_stream(claims, quotes).drop("_state"))
 
 
-@query("SELECT quote_id AS key FROM quotes", "quotes")
+def _in_turn(spark, rows: DataFrame, turn: Column, turns: int) -> DataFrame:
+    """``rows`` as a stream of ``turns`` micro-batches: those of each turn in a file of their own, written in order."""
+    source = scratch_path(spark, "source")
+    rows = materialise(rows.withColumn("_turn", turn), "turns")
+    for i in range(turns):
+        rows.where(F.col("_turn") == i).drop("_turn").coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(rows.drop("_turn").schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+@query(f"SELECT quote_id AS key, '2024-06-30 00:00:00' AS updated_at, '2024-06-30 01:00:00' AS expires_at, * EXCLUDE (quote_id, vin) FROM quote_vectors", "quote_vectors")
 def stream_serving(spark, sf):
-    """Every quote served through foreachBatch; the features ride along as JSON."""
-    offline, online, state = (scratch_path(spark, name) for name in ("offline", "online", "serving-state"))
-    quotes = fx.quotes(spark, sf, _order_stream(spark, sf))
-    live.serve(quotes, "quote", offline, online, state, F.lit(STAMP), ttl_seconds=None).awaitTermination()
-    return feature_store.online_view(spark, online, F.lit(STAMP)).select("key")
+    """Every quote served through foreachBatch in three micro-batches, all of them delivered twice; stored features compared whole."""
+    offline, online = scratch_path(spark, "offline"), scratch_path(spark, "online")
+    orders = fx.table(spark, sf, "orders")
+    quotes = fx.quotes(spark, sf, _in_turn(spark, orders, F.pmod(F.crc32(F.col("o_orderkey").cast("string")), F.lit(3)), 3))
+    for _ in range(2):
+        # A fresh checkpoint replays every batch under its old id.
+        live.serve(quotes, "quote", offline, online, scratch_path(spark, "serving-state"), F.lit(STAMP), ttl_seconds=3600).awaitTermination()
+    rows = feature_store.online_view(spark, online, F.lit(STAMP)).withColumn("features", F.from_json("features", schemas.QUOTE_FEATURES))
+    return as_text(rows.select("key", "updated_at", "expires_at", "features.*").drop("vin"), "updated_at", "expires_at", pattern="yyyy-MM-dd HH:mm:ss")
 
 
 @query("SELECT o_orderkey FROM orders")
@@ -1083,3 +1096,51 @@ def burst_tumbling(spark, sf):
  FROM events)) GROUP BY user_id, session""")
 def burst_sessions(spark, sf):
     return bursts.burst_sessions(fx.table(spark, sf, "events"), "user_id", "ts", 7200).drop("session")
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    """Events in four micro-batches by time, then a closing record far ahead that lets the watermark pass every window."""
+    events = fx.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    span = (last - first).total_seconds() or 1.0
+    turn = F.least(F.floor((F.col("ts").cast("double") - F.lit(first).cast("timestamp").cast("double")) / span * 4), F.lit(3))
+    closing = spark.createDataFrame([(None, last + timedelta(days=30))], events.schema)
+    return _in_turn(spark, events.unionByName(closing), F.when(F.col("user_id").isNull(), 4).otherwise(turn), 5)
+
+
+@query(f"""SELECT user_id, {_SECONDS.format('s')} AS window_start, {_SECONDS.format('s + INTERVAL 1 HOUR')} AS window_end, count(*) AS n
+ FROM (SELECT user_id, time_bucket(INTERVAL 15 MINUTE, ts) - CAST(k AS INT) * INTERVAL 15 MINUTE AS s FROM events, (VALUES (0), (1), (2), (3)) w(k))
+ GROUP BY user_id, s""")
+def stream_burst_windows(spark, sf):
+    """Sliding windows appended as the watermark passes them."""
+    found = _drain(spark, bursts.burst_windows(_event_stream(spark, sf), "user_id", "ts"))
+    return _window_text(found.where(F.col("user_id").isNotNull()))
+
+
+@query("""SELECT user_id, min(m) AS first_micros, max(m) AS last_micros, count(*) AS n FROM (
+ SELECT user_id, m, sum(starts) OVER (PARTITION BY user_id ORDER BY m, event_id) AS session FROM (
+ SELECT user_id, event_id, epoch_us(ts) AS m, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 7200000000 THEN 0 ELSE 1 END AS starts
+ FROM events)) GROUP BY user_id, session""")
+def stream_burst_sessions(spark, sf):
+    """Sessions appended as the watermark passes them."""
+    found = _drain(spark, bursts.burst_sessions(_event_stream(spark, sf), "user_id", "ts", 7200))
+    return found.where(F.col("user_id").isNotNull())
+
+
+#: Days at which the late-row query cuts its deliveries.
+_CUTS = ("1996-09-01", "1998-05-01", "2000-01-01")
+
+
+@query(f"""SELECT o_orderkey, turn = 3 AND held AND o_orderdate < (SELECT max(o_orderdate) FROM dealt WHERE turn < 3) - INTERVAL 30 DAY AS late FROM dealt""".replace("FROM dealt", f"""FROM (
+ SELECT o_orderkey, o_orderdate, o_orderkey % 100 = 7 AS held, CASE WHEN o_orderkey % 100 = 7 THEN 3 ELSE {" + ".join(f"CAST(o_orderdate >= TIMESTAMP '{d}' AS INT)" for d in _CUTS)} END AS turn FROM orders)"""))
+def stream_late_split(spark, sf):
+    """Orders by date in four deliveries; one in a hundred comes with the last one. Orders of the fortnight before a cut come twice."""
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    part = sum(((F.col("at") >= F.lit(d).cast("timestamp")).cast("int") for d in _CUTS), F.lit(0))
+    held = F.col("o_orderkey") % 100 == 7
+    again = ~held & (part < 3) & (sum(((F.col("at") + F.expr("INTERVAL 14 DAYS") >= F.lit(d).cast("timestamp")).cast("int") for d in _CUTS), F.lit(0)) > part)
+    dealt = orders.withColumn("turn", F.when(held, F.array(F.lit(3))).when(again, F.array(part, part + 1)).otherwise(F.array(part)))
+    stream = _in_turn(spark, dealt.withColumn("turn", F.explode("turn")), F.col("turn"), 4).drop("turn")
+    path = scratch_path(spark, "late")
+    late.split_late(stream, "o_orderkey", "at", timedelta(days=30), path, scratch_path(spark, "late-state")).awaitTermination()
+    return late.read_split(spark, path, "o_orderkey bigint, at timestamp").select("o_orderkey", "late")

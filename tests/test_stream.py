@@ -1,11 +1,11 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from riskspark.operators import features
 from riskspark.sources import feature_store as store
 from riskspark.sources import fixture as fx
-from riskspark.streaming import bursts
+from riskspark.streaming import bursts, late
 from riskspark.streaming import features as live
 
 STAMP = F.lit
@@ -54,3 +54,39 @@ def test_sessions_equal_a_plain_scan(spark):
         run.append(t)
     runs.append(run)
     assert got == sorted((len(r), (r[-1] - r[0]) * 1_000_000) for r in runs)
+
+
+def test_streaming_windows_and_sessions_equal_batch(spark, tmp_path):
+    times = [0, 10, 69, 70, 200, 259, 319, 320, 1000, 1030, 5000]
+    rows = [("k", t) for t in times] + [("other", t) for t in times[::2]]
+    df = spark.createDataFrame([(k, datetime.fromtimestamp(t)) for k, t in rows], "key string, at timestamp")
+    source = str(tmp_path / "in")
+    for low, high in ((0, 100), (100, 500), (500, 6000)):
+        df.where((F.col("at").cast("long") >= low) & (F.col("at").cast("long") < high)).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([(None, datetime.fromtimestamp(1_000_000))], df.schema).write.mode("append").parquet(source)
+
+    def drained(name, build):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        rows = build(stream)
+        live.to_table(rows, str(tmp_path / name), str(tmp_path / f"{name}-state")).awaitTermination()
+        return {tuple(r) for r in spark.read.schema(rows.schema).parquet(str(tmp_path / name)).where("key IS NOT NULL").collect()}
+
+    columns = ["key", "first_micros", "last_micros", "n"]
+    batch = {tuple(r) for r in bursts.burst_sessions(df, "key", "at", 60).select(columns).collect()}
+    assert drained("sessions", lambda s: bursts.burst_sessions(s, "key", "at", 60, "1 minute").select(columns)) == batch
+    windows = {tuple(r) for r in bursts.burst_windows(df, "key", "at", "1 minute", "20 seconds").collect()}
+    assert drained("windows", lambda s: bursts.burst_windows(s, "key", "at", "1 minute", "20 seconds", "1 minute")) == windows
+
+
+def test_late_rows_have_their_own_table(spark, tmp_path):
+    """Late rows, repeats within a batch and across batches, rows without a time, and a replayed batch."""
+    def batch(*rows):
+        return spark.createDataFrame([(i, None if d is None else datetime(2024, 1, d)) for i, d in rows], "id string, at timestamp")
+
+    path = str(tmp_path / "split")
+    deliveries = [batch(("a", 1), ("a", 1), ("b", 10)), batch(("b", 10), ("c", 12), ("old", 2), ("edge", 5)), batch(("d", 20), ("c", 12), ("none", None), ("b", 10)), batch()]
+    for batch_id in (0, 1, 2, 1, 2, 3):
+        late.split_batch(deliveries[batch_id], batch_id, "id", "at", timedelta(days=5), path)
+    got = sorted((r.late, r.id) for r in late.read_split(spark, path, "id string, at timestamp").collect())
+    # After the third batch the mark is the 7th: b and c are repeats within its reach.
+    assert got == [(False, i) for i in ("a", "b", "c", "d", "edge")] + [(True, i) for i in ("none", "old")]
