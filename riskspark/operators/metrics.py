@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.values import clip
-from riskspark.operators.ordered import approximate_quantiles, exact_quantiles, running_totals
+from riskspark.functions.values import clip, correlation
+from riskspark.operators.ordered import approximate_quantiles, exact_quantiles, numeric, running_totals
+from riskspark.session import materialise
 
 BINS = 10
 
@@ -76,6 +77,23 @@ def auc_gini(df: DataFrame, label: str, score: str, bins: int | None = None) ->
     return ranked.agg(F.when(pairs > 0, won / pairs).alias("auc")).withColumn("gini", 2.0 * F.col("auc") - 1.0)
 
 
+def rank_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Spearman's rank correlation of two columns (ties share their middle rank) as one row, null where either is constant.
+
+    Ranks come from running totals, so no column is sorted in one task. Rows that lack either value are left out.
+    """
+    names = ("_left", "_right")
+    both = df.select(*[F.col(c).alias(name) for c, name in zip((a, b), names)])
+    for column in names:
+        both = numeric(both, column)
+    both = materialise(both, "pairs")
+    for i, column in enumerate(names):
+        ranks = running_totals(both.select(column), column, {"n": F.count(F.lit(1))})
+        middle = (F.col("n_before") + (F.col("n") + 1) / 2.0).alias(f"_rank_{i}")
+        both = both.join(ranks.select(column, middle), column)
+    return both.agg(correlation(F.col("_rank_0"), F.col("_rank_1")).alias("rank_agreement"))
+
+
 def severity_errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     miss = F.col(actual) - F.col(predicted)
     return df.agg(

@@ -1,6 +1,7 @@
 """Frequency × severity risk model on Spark ML: train, calibrate, score, explain, evaluate."""
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -26,6 +27,9 @@ TRAIN_PERCENT = 80
 
 # Boosting settings of the frequency model.
 BOOSTING = {"maxIter": 400, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
+#: Rounds end early once a round lowers the loss on a tenth of the training part by less than this share.
+EARLY_STOP = {"validationIndicatorCol": "is_validation", "validationTol": 0.001}
+VALIDATION_PERCENT = 10
 
 
 def in_training(key: Column) -> Column:
@@ -34,6 +38,12 @@ def in_training(key: Column) -> Column:
     return bucket < TRAIN_PERCENT
 
 
+def in_validation(key: Column) -> Column:
+    """A tenth of the keys, by other digits of the hash than the split's, so it cuts across both parts alike."""
+    bucket = F.conv(F.substring(F.sha2(key, 256), 9, 8), 16, 10).cast("bigint") % 100
+    return bucket < VALIDATION_PERCENT
+
+
 def split(df: DataFrame, key: str = "quote_id") -> tuple[DataFrame, DataFrame]:
     return df.where(in_training(F.col(key))), df.where(~in_training(F.col(key)))
 
@@ -96,19 +106,20 @@ def train_frequency(quotes: DataFrame, **boosting) -> Fitted:
     rows = materialise(balanced(tree_inputs(frequency_rows(quotes))), "frequency")
     balance = metrics.class_balance(rows, FREQUENCY_TARGET)
     weight = F.when(F.col(FREQUENCY_TARGET) == 1, balance.select("scale_pos_weight").scalar()).otherwise(F.lit(1.0))
-    train, holdout = split(rows.withColumn("weight", weight))
+    train, holdout = split(rows.withColumns({"weight": weight, "is_validation": in_validation(F.col("quote_id"))}))
     stages = [
         VectorAssembler(inputCols=TREE_COLUMNS, outputCol="inputs"),
         GBTClassifier(
             featuresCol="inputs", labelCol=FREQUENCY_TARGET, weightCol="weight", cacheNodeIds=True,
-            checkpointInterval=10, **{**BOOSTING, **boosting},
+            checkpointInterval=10, **{**BOOSTING, **EARLY_STOP, **boosting},
         ),
     ]
     model = Pipeline(stages=stages).fit(train)
     gains = dict(zip(TREE_COLUMNS, model.stages[-1].featureImportances.toArray().tolist()))
     scored = materialise(predict_probability(model, holdout).select("p", FREQUENCY_TARGET), "frequency-holdout")
     fitted_on = train.agg(
-        F.count(F.lit(1)).alias("train_rows"), F.count_if(F.col(FREQUENCY_TARGET) == 1).alias("train_positives")
+        F.count(F.lit(1)).alias("train_rows"), F.count_if(F.col(FREQUENCY_TARGET) == 1).alias("train_positives"),
+        F.count_if("is_validation").alias("validation_rows"), F.lit(model.stages[-1].getNumTrees).alias("rounds"),
     )
     report = metrics.log_loss(scored, FREQUENCY_TARGET, "p")
     for part in (metrics.auc_gini(scored, FREQUENCY_TARGET, "p"), balance, fitted_on):
@@ -287,6 +298,19 @@ def fit_reason_weights(quotes: DataFrame) -> ReasonWeights:
     return ReasonWeights(weights, {c: float(means[c]) for c in MODEL_FEATURES})
 
 
+def surrogate_log_odds(rows: DataFrame, given: ReasonWeights) -> Column:
+    """The surrogate's log-odds of a row, up to a constant: the sum of its contributions."""
+    parts = [F.coalesce(F.lit(w) * (F.col(name) - float(given.means[name])), F.lit(0.0)) for name, w in given.weights.items()]
+    return reduce(lambda a, b: a + b, parts)
+
+
+def surrogate_agreement(frequency: PipelineModel, quotes: DataFrame, given: ReasonWeights) -> DataFrame:
+    """How far the surrogate that explains orders held-out quotes as the trees that score do: their rank correlation."""
+    _, holdout = split(frequency_rows(quotes))
+    marked = holdout.withColumn("surrogate", surrogate_log_odds(holdout, given))
+    return metrics.rank_agreement(predict_probability(frequency, tree_inputs(marked)), "surrogate", "p")
+
+
 def reason_codes(rows: DataFrame, given: ReasonWeights, top_n: int = 5) -> DataFrame:
     """Top contributions per row, largest absolute share first, signed: positive raises P(claim).
 

@@ -4,20 +4,23 @@ from collections.abc import Callable
 from datetime import date, datetime, timedelta
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark import schemas
 from riskspark.constants import MAX_HOPS, MODEL_FEATURES, TELEMATICS_SIGNALS
 from riskspark.functions.scoring import policy_tier, rule_risk_score
 from riskspark.functions.values import correlation
 from riskspark.operators import components, entities, features, graph, metrics, models, monitor, ordered, quality, serving
 from riskspark.operators.communities import label_communities
 from riskspark.operators.components import connected_components
-from riskspark import schemas
 from riskspark.plans import oracle as sql
+from riskspark.plans import pipeline
 from riskspark.session import materialise, scratch_path, tune
 from riskspark.sources import feature_store, graph_store
 from riskspark.sources import fixture as fx
+from riskspark.sources.tables import MissingUpstreamTable, read, write
 from riskspark.streaming import bursts, late
 from riskspark.streaming import features as live
 
@@ -684,60 +687,139 @@ def reason_codes_given_weights(spark, sf):
     )
 
 
-# Models: no SQL twin -----------------------------------------------------------------------------
+# Models: fitted once for a session and a set of tables, then loaded by every query that needs them ----
+
+_WORKSPACES: dict[tuple[str, str], pipeline.Workspace] = {}
+
+
+def _workspace(spark, sf) -> pipeline.Workspace:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WORKSPACES:
+        ws = pipeline.Workspace(scratch_path(spark, "models"))
+        write(fx.quotes(spark, sf), ws.path("quotes"))
+        write(fx.claim_lines(spark, sf), ws.path("claims"))
+        _WORKSPACES[key] = ws
+    return _WORKSPACES[key]
+
 
-# Few rounds at a larger step: the full setting is the library's default.
-QUICK = {"maxIter": 10, "stepSize": 0.3}
+def _fitted(spark, sf, *names: str) -> pipeline.Workspace:
+    """A workspace that holds the models named, each fitted with the library's own setting."""
+    ws = _workspace(spark, sf)
+    steps = {"frequency": pipeline.train_frequency, "severity": pipeline.train_severity, "calibration": pipeline.calibrate}
+    for name in names:
+        try:
+            read(spark, ws.path("models/calibration" if name == "calibration" else f"models/{name}_importance"))
+        except MissingUpstreamTable:
+            steps[name](spark, ws)
+    return ws
 
 
-def _tables(spark, sf) -> tuple[DataFrame, DataFrame]:
-    return materialise(fx.quotes(spark, sf), "quotes"), fx.claim_lines(spark, sf)
+def _model_table(spark, sf, table: str, *needs: str) -> DataFrame:
+    return read(spark, _fitted(spark, sf, *needs).path(f"models/{table}"))
 
 
 @query()
 def train_frequency(spark, sf):
-    fitted = models.train_frequency(_tables(spark, sf)[0], **QUICK)
-    return metrics.to_metric_rows(fitted.report, "frequency")
+    return _model_table(spark, sf, "frequency_metrics", "frequency")
+
+
+_BUCKET = "('0x' || substr(sha256(quote_id), {}, 8))::UBIGINT % 100"
+
+
+@query(f"""SELECT metric, round(value, 6) AS value FROM (SELECT
+ CAST(count(*) FILTER (WHERE claim_occurred) AS DOUBLE) AS total_positives, CAST(count(*) FILTER (WHERE NOT claim_occurred) AS DOUBLE) AS total_negatives,
+ CAST(count(*) FILTER (WHERE NOT claim_occurred) AS DOUBLE) / count(*) FILTER (WHERE claim_occurred) AS scale_pos_weight,
+ CAST(count(*) FILTER (WHERE t) AS DOUBLE) AS train_rows, CAST(count(*) FILTER (WHERE t AND claim_occurred) AS DOUBLE) AS train_positives,
+ CAST(count(*) FILTER (WHERE t AND v) AS DOUBLE) AS validation_rows
+ FROM (SELECT claim_occurred, {_BUCKET.format(1)} < 80 AS t, {_BUCKET.format(9)} < 10 AS v FROM quotes))
+ UNPIVOT (value FOR metric IN (total_positives, total_negatives, scale_pos_weight, train_rows, train_positives, validation_rows))""", "quotes")
+def train_frequency_counts(spark, sf):
+    """What the fit was made from: classes, their weight, and the rows of each part."""
+    rows = _model_table(spark, sf, "frequency_metrics", "frequency")
+    wanted = ["total_positives", "total_negatives", "scale_pos_weight", "train_rows", "train_positives", "validation_rows"]
+    return rounded(rows.where(F.col("metric").isin(wanted)).select("metric", "value"), "value")
 
 
 @query()
 def frequency_importance(spark, sf):
-    return models.train_frequency(_tables(spark, sf)[0], **QUICK).importance.orderBy(F.desc("importance_pct"), "feature")
+    return _model_table(spark, sf, "frequency_importance", "frequency").orderBy(F.desc("importance_pct"), "feature")
 
 
 @query()
 def train_severity(spark, sf):
-    return metrics.to_metric_rows(models.train_severity(*_tables(spark, sf)).report, "severity")
+    return _model_table(spark, sf, "severity_metrics", "severity")
 
 
 @query()
 def calibrate_platt(spark, sf):
-    quotes, _ = _tables(spark, sf)
-    fitted = models.train_frequency(quotes, **QUICK)
-    return metrics.to_metric_rows(models.calibrate_frequency(fitted.model, quotes)[1], "frequency")
+    return _model_table(spark, sf, "frequency_calibration_metrics", "frequency", "severity", "calibration")
 
 
 @query()
 def calibrate_severity(spark, sf):
-    quotes, claims = _tables(spark, sf)
-    fitted = models.train_severity(quotes, claims)
-    return metrics.to_metric_rows(models.calibrate_severity(fitted.model, quotes, claims)[1], "severity")
+    return _model_table(spark, sf, "severity_calibration_metrics", "frequency", "severity", "calibration")
+
+
+@query(f"""SELECT (SELECT round(avg(CAST(claim_occurred AS INT)), 6) FROM quotes WHERE {_BUCKET.format(1)} >= 80) AS actual_claim_rate,
+ (SELECT round(avg(incurred_loss_usd), 4) FROM claims_raw JOIN (SELECT quote_id FROM quotes) USING (quote_id) WHERE {_BUCKET.format(1)} >= 80) AS mean_actual_usd,
+ true AS platt_keeps_the_rate, true AS bias_keeps_the_mean""", "quotes claims_raw")
+def calibration_on_holdout(spark, sf):
+    """Both calibrations are fitted on the held-out part: its claim rate and mean cost are what calibrated scores average to."""
+    ws = _fitted(spark, sf, "frequency", "severity", "calibration")
+    found = {r.metric: r.value for name in ("frequency", "severity") for r in read(spark, ws.path(f"models/{name}_calibration_metrics")).collect()}
+    rate, cost = found["actual_claim_rate"], found["mean_actual_usd"]
+    return spark.range(1).select(
+        F.round(F.lit(rate), 6).alias("actual_claim_rate"), F.round(F.lit(cost), 4).alias("mean_actual_usd"),
+        F.lit(abs(found["p_claim_mean_after"] - rate) < 1e-3).alias("platt_keeps_the_rate"),
+        F.lit(abs(found["mean_predicted_after_usd"] / cost - 1) < 1e-6).alias("bias_keeps_the_mean"))
+
+
+def _hurdle_model(spark, sf):
+    ws = _fitted(spark, sf, "frequency", "severity", "calibration")
+    return pipeline.load_model(spark, ws), read(spark, ws.path("quotes"))
 
 
 @query()
 def hurdle_eval(spark, sf):
-    quotes, claims = _tables(spark, sf)
-    frequency, severity = models.train_frequency(quotes, **QUICK), models.train_severity(quotes, claims)
-    fitted, _ = models.calibrate_frequency(frequency.model, quotes)
-    fitted.bias, _ = models.calibrate_severity(severity.model, quotes, claims)
-    return models.evaluate(models.HurdleModel(frequency.model, severity.model, fitted), quotes)
+    return models.evaluate(*_hurdle_model(spark, sf))
+
+
+@query()
+def hurdle_scores(spark, sf):
+    """Calibrated probability, cost and their product for every quote."""
+    model, quotes = _hurdle_model(spark, sf)
+    return model.score(quotes)
+
+
+@query("SELECT count(*) AS n, count(*) AS probabilities, count(*) AS costs, count(*) AS products FROM quotes", "quotes")
+def hurdle_score_bounds(spark, sf):
+    """How many scores keep to their bounds: all of them."""
+    p, cost, risk = (F.col(c) for c in ("p_claim", "e_cost_usd", "risk_score"))
+    return hurdle_scores(spark, sf).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((p >= 0) & (p <= 1)).alias("probabilities"),
+        F.count_if((cost > 0) & (cost < float("inf"))).alias("costs"), F.count_if(F.abs(risk - p * cost) <= 1e-9 * risk).alias("products"))
 
 
 @query()
 def explain_quotes(spark, sf):
-    quotes, _ = _tables(spark, sf)
+    """Reason codes of the logistic surrogate; ``surrogate_agreement`` tells how far it follows the trees."""
+    quotes = read(spark, _workspace(spark, sf).path("quotes"))
     coded = models.reason_codes(models.frequency_rows(quotes), models.fit_reason_weights(quotes), 3)
-    return coded.select("quote_id", F.to_json("reason_codes").alias("reason_codes"))
+    return coded.select("quote_id", F.to_json("reason_codes").alias("surrogate_reason_codes"))
+
+
+@query()
+def surrogate_agreement(spark, sf):
+    ws = _fitted(spark, sf, "frequency")
+    quotes = read(spark, ws.path("quotes"))
+    frequency = PipelineModel.load(ws.path("models/frequency"))
+    return models.surrogate_agreement(frequency, quotes, models.fit_reason_weights(quotes))
+
+
+@query("""SELECT round(corr(a, b), 6) AS rank_agreement FROM (SELECT rank() OVER (ORDER BY risk_score_at_issuance) + (count(*) OVER (PARTITION BY risk_score_at_issuance) - 1) / 2.0 AS a,
+ rank() OVER (ORDER BY violation_severity_index) + (count(*) OVER (PARTITION BY violation_severity_index) - 1) / 2.0 AS b FROM quotes)""", "quotes")
+def rank_agreement(spark, sf):
+    return rounded(metrics.rank_agreement(fx.quotes(spark, sf), "risk_score_at_issuance", "violation_severity_index"), "rank_agreement")
 
 
 # Serving -----------------------------------------------------------------------------------------

@@ -116,18 +116,27 @@ def offline_features(spark: SparkSession, ws: Workspace, as_of, online: bool = F
     return counts[0], counts[1]
 
 
+def _save(fitted: models.Fitted, ws: Workspace, name: str) -> None:
+    fitted.model.write().overwrite().save(ws.path(f"models/{name}"))
+    write(metrics.to_metric_rows(fitted.report, name), ws.path(f"models/{name}_metrics"))
+    write(fitted.importance, ws.path(f"models/{name}_importance"))
+
+
+def train_frequency(spark: SparkSession, ws: Workspace, **boosting) -> None:
+    """Fit and save the claim model with its metrics and importances."""
+    _save(models.train_frequency(read(spark, ws.path("quotes")), **boosting), ws, "frequency")
+
+
+def train_severity(spark: SparkSession, ws: Workspace, iterations: int = 25) -> None:
+    """Fit and save the cost model with its metrics and importances."""
+    _save(models.train_severity(read(spark, ws.path("quotes")), read(spark, ws.path("claims")), iterations), ws, "severity")
+
+
 def train(spark: SparkSession, ws: Workspace, severity_iterations: int = 25, **boosting) -> DataFrame:
     """Fit and save both models, their metrics and importances; returns the hurdle evaluation."""
-    quotes, claims = read(spark, ws.path("quotes")), read(spark, ws.path("claims"))
-    fitted = {
-        "frequency": models.train_frequency(quotes, **boosting),
-        "severity": models.train_severity(quotes, claims, severity_iterations),
-    }
-    for name, result in fitted.items():
-        result.model.write().overwrite().save(ws.path(f"models/{name}"))
-        write(metrics.to_metric_rows(result.report, name), ws.path(f"models/{name}_metrics"))
-        write(result.importance, ws.path(f"models/{name}_importance"))
-    report = models.evaluate(load_model(spark, ws), quotes)
+    train_frequency(spark, ws, **boosting)
+    train_severity(spark, ws, severity_iterations)
+    report = models.evaluate(load_model(spark, ws), read(spark, ws.path("quotes")))
     write(metrics.to_metric_rows(report, "hurdle"), ws.path("models/hurdle_metrics"))
     return report
 

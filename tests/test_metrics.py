@@ -114,3 +114,18 @@ def test_psi_bins_come_from_the_baseline(spark):
     assert all(v == (pytest.approx(0), "stable") for v in same.values())
     moved = {r.feature: r.band for r in monitor.psi(baseline, baseline.withColumn("a", F.col("a") / 3), cuts).collect()}
     assert moved["a"] == "critical" and moved["b"] == "stable"
+
+
+def test_rank_agreement_shares_ranks_of_ties(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([0.0, 1.0, rng.random()]), rng.choice([None, float("nan"), rng.random(), 3.0])) for _ in range(300)]
+    kept = [(a, b) for a, b in rows if b is not None and b == b]
+
+    def ranks(values):
+        return [sum(v < x for v in values) + (sum(v == x for v in values) + 1) / 2 for x in values]
+
+    want = np.corrcoef(ranks([a for a, _ in kept]), ranks([b for _, b in kept]))[0, 1]
+    df = spark.createDataFrame(rows, "a double, b double")
+    assert metrics.rank_agreement(df, "a", "b").first()[0] == pytest.approx(want)
+    assert metrics.rank_agreement(df, "a", "a").first()[0] == pytest.approx(1)
+    assert metrics.rank_agreement(df.withColumn("a", F.lit(1.0)), "a", "b").first()[0] is None

@@ -91,3 +91,14 @@ def test_reason_codes(spark, tables, top_n):
         sizes = [abs(c.contribution) for c in row.reason_codes]
         assert sizes == sorted(sizes, reverse=True) and all(c.feature in MODEL_FEATURES for c in row.reason_codes)
         assert sum(abs(c.pct) for c in row.reason_codes) <= 100.5
+
+
+def test_rounds_end_when_validation_stands_still(tables):
+    """An unreachable share of improvement ends the fit at once; the validation rows are part of the training rows."""
+    row = models.train_frequency(tables[0], maxIter=30, maxDepth=2, validationTol=0.9).report.first()
+    assert row.rounds < 30 and 0 < row.validation_rows < row.train_rows
+
+
+def test_surrogate_follows_the_trees(tables, frequency):
+    found = models.surrogate_agreement(frequency.model, tables[0], models.fit_reason_weights(tables[0])).first()[0]
+    assert 0.3 < found <= 1
