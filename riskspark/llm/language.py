@@ -17,6 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +27,11 @@ from riskspark.session import materialise
 SAMPLE_ROWS = 1500
 ROUNDS = 3
 SMOOTHING = 0.02
-MAX_PIECE = 12
-#: Longer letter runs are cut into parts of this length, so that the recursion's arrays stay small.
-MAX_WORD = 48
+#: Runs up to this length are summed as plain products, which cannot underflow; longer ones with logarithms. The sums are the same.
+PLAIN_LENGTH = 48
 CACHED_WORDS = 400_000
 MARK = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS, ONLY_LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 
 
@@ -42,29 +42,36 @@ def pieces(path: str) -> dict[str, int]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     usable = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)))
-    kept = dict.fromkeys(p for p in usable if len(p) <= MAX_PIECE and p == p.lower() and (p == MARK or p.lstrip(MARK).isalpha()) and p.count(MARK) <= 1)
+    kept = dict.fromkeys(p for p in usable if p == p.lower() and (p == MARK or p.lstrip(MARK).isalpha()) and p.count(MARK) <= 1)
     return {p: i for i, p in enumerate(kept, 1)}
 
 
 def words(text: str) -> list[str]:
-    """Letter runs in lower case, each with the word mark; long runs are cut."""
-    found = [MARK + w for w in LETTERS.findall(text.lower())]
-    if any(len(w) > MAX_WORD for w in found):
-        found = [w[at:at + MAX_WORD] for w in found for at in range(0, len(w), MAX_WORD)]
-    return found
+    """Letter runs in lower case, each with the word mark. Number signs that are no letters, like ``½``, belong to none."""
+    lower = text.lower()
+    found = LETTERS.findall(lower)
+    if not all(map(str.isalpha, found)):
+        found = ONLY_LETTERS.findall(lower)
+    return [MARK + w for w in found]
 
 
-def lattice(group: list[str], length: int, known: dict[str, int]) -> list[tuple[int, int, np.ndarray]]:
-    """(start, end, piece numbers of each word there) for words of one length; -1 means no piece."""
-    arcs = []
-    for end in range(1, length + 1):
-        for start in range(max(0, end - MAX_PIECE), end):
-            found = np.fromiter((known.get(w[start:end], -1) for w in group), np.int32, len(group))
-            if end - start == 1:
-                found[found < 0] = 0
-            if (found >= 0).any():
-                arcs.append((start, end, found))
-    return arcs
+def longest(known: dict[str, int]) -> int:
+    """Length of the longest piece, which bounds how far back the recursion looks."""
+    return max(map(len, known), default=1)
+
+
+def arcs_to(group: list[str], end: int, known: dict[str, int], reach: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(start, piece numbers of each word from there to ``end``) for words of one length; -1 means no piece."""
+    for start in range(max(0, end - reach), end):
+        found = np.fromiter((known.get(w[start:end], -1) for w in group), np.int32, len(group))
+        if end - start == 1:
+            found[found < 0] = 0
+        if (found >= 0).any():
+            yield start, found
+
+
+def lattice(group: list[str], length: int, known: dict[str, int], reach: int) -> list[tuple[int, int, np.ndarray]]:
+    return [(start, end, found) for end in range(1, length + 1) for start, found in arcs_to(group, end, known, reach)]
 
 
 def _by_length(own: list[str], limit: int = 4096) -> Iterator[list[int]]:
@@ -72,31 +79,67 @@ def _by_length(own: list[str], limit: int = 4096) -> Iterator[list[int]]:
     for i, w in enumerate(own):
         groups.setdefault(len(w), []).append(i)
     for places in groups.values():
-        for at in range(0, len(places), limit):
-            yield places[at:at + limit]
+        size = max(1, limit * PLAIN_LENGTH // max(PLAIN_LENGTH, len(own[places[0]])))
+        for at in range(0, len(places), size):
+            yield places[at:at + size]
 
 
 def forward(own: list[str], known: dict[str, int], table: np.ndarray) -> np.ndarray:
     """log probability of each word in each language. ``table``: a row per piece and one of zeros at the end."""
-    out = np.empty((len(own), table.shape[1]))
+    out, reach = np.empty((len(own), table.shape[1])), longest(known)
     for places in _by_length(own):
         group = [own[i] for i in places]
         length = len(group[0])
+        if length > PLAIN_LENGTH:
+            out[places] = _long_forward(group, known, table, reach)
+            continue
         alpha = np.zeros((length + 1, len(group), table.shape[1]))
         alpha[0] = 1.0
-        for start, end, found in lattice(group, length, known):
+        for start, end, found in lattice(group, length, known, reach):
             alpha[end] += alpha[start] * table[found]
         out[places] = np.log(np.maximum(alpha[length], 1e-300))
     return out
 
 
+def _long_forward(group: list[str], known: dict[str, int], table: np.ndarray, reach: int) -> np.ndarray:
+    """The same for long words of one length: only the last ``reach`` logarithms are held."""
+    logs = [np.zeros((len(group), table.shape[1]))]
+    for end in range(1, len(group[0]) + 1):
+        last, at = logs[-1], end - len(logs)
+        total = sum(np.exp(logs[start - at] - last) * table[found] for start, found in arcs_to(group, end, known, reach))
+        logs.append(last + np.log(total))
+        del logs[:-reach]
+    return logs[-1]
+
+
+def _long_expected(word: str, weight: np.ndarray, known: dict[str, int], table: np.ndarray, reach: int, counts: np.ndarray) -> None:
+    """Adds one long word's expected piece counts: forward logarithms of all places, then backward with a window."""
+    length, group = len(word), [word]
+    front = np.zeros((length + 1, table.shape[1]))
+    for end in range(1, length + 1):
+        front[end] = front[end - 1] + np.log(sum(np.exp(front[start] - front[end - 1]) * table[found[0]] for start, found in arcs_to(group, end, known, reach)))
+    # Logarithms of what follows a place. What a place still gets is gathered in a window, relative to the place after it.
+    back = np.full((length + 1, table.shape[1]), -np.inf)
+    back[length] = 0.0
+    for end in range(length, 0, -1):
+        for start, found in arcs_to(group, end, known, reach):
+            chance = table[found[0]]
+            with np.errstate(divide="ignore"):
+                back[start] = np.logaddexp(back[start], back[end] + np.log(chance))
+            counts[found[0]] += np.exp(front[start] + back[end] - front[length]) * chance * weight
+
+
 def expected(own: list[str], weights: np.ndarray, known: dict[str, int], table: np.ndarray) -> np.ndarray:
     """Expected piece counts of each language; ``weights``: how often each word occurs in each."""
-    counts = np.zeros_like(table)
+    counts, reach = np.zeros_like(table), longest(known)
     for places in _by_length(own):
         group, weight = [own[i] for i in places], weights[places]
         length = len(group[0])
-        arcs = lattice(group, length, known)
+        if length > PLAIN_LENGTH:
+            for word, own_weight in zip(group, weight):
+                _long_expected(word, own_weight, known, table, reach, counts)
+            continue
+        arcs = lattice(group, length, known, reach)
         alpha = np.zeros((length + 1, len(group), table.shape[1]))
         beta = np.zeros_like(alpha)
         alpha[0] = beta[length] = 1.0
@@ -209,6 +252,7 @@ def train(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, rounds: in
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id, ``lang_pred``, ``score`` (the posterior, 0 to 1).
 
+    Texts and letter runs of any length are summed whole.
     Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing was learned.
     Ties go to the language first in order. Other columns are ignored. No rows give no rows.
     """

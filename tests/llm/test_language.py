@@ -46,6 +46,24 @@ def test_expected_counts(toy):
     assert np.allclose(language.expected(words, weights, known, probabilities), want)
 
 
+def test_long_runs_equal_short_ones(toy, monkeypatch):
+    """With logarithms from the first letter on, sums and counts are the same; runs of any length are one run."""
+    known, probabilities = toy
+    words, weights = ["▁ababxab", "▁ba", "▁" + "ab" * 20], np.array([[2.0, 0, 1], [1, 3, 0], [1, 1, 5]])
+    sums, counts = language.forward(words, known, probabilities), language.expected(words, weights, known, probabilities)
+    monkeypatch.setattr(language, "PLAIN_LENGTH", 1)
+    assert np.allclose(language.forward(words, known, probabilities), sums)
+    assert np.allclose(language.expected(words, weights, known, probabilities), counts)
+    long = "▁" + "abba" * 1000
+    assert language.words("abba" * 1000) == [long] and np.isfinite(language.forward([long], known, probabilities)).all()
+
+
+def test_whole_vocabulary_and_letters_only():
+    known = language.pieces(PATH)
+    assert language.longest(known) > 12
+    assert [language.words(t) for t in ("²", "½ 3", "Ⅷ", "x² + ½y", "a_b1c")] == [[], [], [], ["▁x", "▁y"], ["▁a", "▁b", "▁c"]]
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = table(spark, sf_dir.replace("0.001", "0.01"), "documents")
     held = remainder("doc_id", 5) == 0

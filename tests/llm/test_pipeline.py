@@ -1,12 +1,11 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskspark.llm import pii, simhash
+from riskspark.llm import pii
 from riskspark.llm.common import table
 from riskspark.session import materialise
 from tests.llm.conftest import CLASHING
-from tests.llm.test_components import brute as components
-from tests.llm.test_simhash import linked
+from tests.llm.test_similar import expected
 
 
 def stage(spark, name, docs):
@@ -14,13 +13,8 @@ def stage(spark, name, docs):
 
 
 def near_kept(texts):
-    """Ids that stay of {id: text} by brute force."""
-    groups = {}
-    for i, t in texts.items():
-        groups.setdefault(simhash.fingerprint(t.encode()), []).append(i)
-    least = {min(own): p for p, own in groups.items()}
-    joined = components(linked(least))
-    return {i for i in least if joined.get(i, i) == i}
+    """Ids that stay of {id: text}: the smallest of each group by brute-force similarity of all pairs."""
+    return {i for i, least in expected(texts).items() if i == least}
 
 
 def test_stages_against_brute_force(spark, sf_dir):
