@@ -81,11 +81,16 @@ def pack(
 
     ``tokens`` is the token count (words of the text by default; negative and null counts are 0). A row with more
     tokens than the budget is a batch of its own, in the bucket after the last, unpadded. Rows of a bucket are in the
-    order of their id's hash; repeated ids take neighbouring places in any order. Null and empty texts have no token
+    order of their id's hash; repeated ids take neighbouring places in any order, but for ids of more than a quarter of
+    ``cell_rows`` rows, which are dealt over all places. Texts of any length are counted whole. Null and empty texts have no token
     and are in the first bucket. Null ids are packed like any other. No rows give no rows.
     """
     count = word_count(whole(text_column)) if tokens is None else F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0))
-    rows = materialise(docs.select(F.col(id_column), count.alias("n_tokens")), "lengths")
+    # An id of many rows would be one cell: its rows are told apart by a number written with them.
+    rows = materialise(docs.select(F.col(id_column), count.alias("n_tokens"), F.monotonically_increasing_id().alias("_number")), "lengths")
+    often = materialise(rows.groupBy(F.col(id_column).alias("_often")).count().where(F.col("count") > cell_rows // 4).select("_often"), "often")
+    rows = rows.join(sized(often.withColumn("_salted", F.lit(True)), often.count()), F.col(id_column).eqNullSafe(F.col("_often")), "left").select(
+        id_column, "n_tokens", F.when(F.col("_salted"), F.col("_number")).otherwise(0).alias("_salt"))
     chosen = choose_buckets(rows, budget, buckets)
     over = len(chosen)
     bucket, cells, bound = F.lit(over), F.lit(None).cast("long"), F.col("n_tokens")
@@ -95,7 +100,7 @@ def pack(
         bound = F.when(inside, b.bound).otherwise(bound)
         cells = F.when(inside, -(-b.rows // cell_rows)).otherwise(cells)
     long_rows = rows.where(F.col("n_tokens") > budget).count()
-    order = F.xxhash64(id_column)
+    order = F.when(F.col("_salt") == 0, F.xxhash64(id_column)).otherwise(F.xxhash64(id_column, "_salt"))
     placed = rows.select(
         id_column, "n_tokens", bucket.alias("bucket"), bound.cast("long").alias("bound"), order.alias("_order"),
         F.pmod(order, F.coalesce(cells, F.lit(max(1, -(-long_rows // cell_rows))))).alias("_cell"))

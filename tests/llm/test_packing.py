@@ -59,3 +59,16 @@ def test_odd_rows(odd, odd_texts, nothing):
     given = packing.pack(odd, tokens=F.when(F.col("doc_id") == 1, -5).otherwise(F.col("doc_id"))).collect()
     assert {r.doc_id: r.n_tokens for r in given}[1] == 0
     assert packing.pack(nothing).count() == 0
+
+
+@pytest.mark.parametrize("hot", ["7", "CAST(NULL AS BIGINT)"])
+def test_a_hot_id_is_dealt_over_cells(spark, hot):
+    """A third of all rows under one id, or under none: no cell holds more than a small part of them."""
+    docs = spark.range(0, 6000, 1, 8).selectExpr(f"if(id % 3 = 0, {hot}, id + 10) AS doc_id", "'one two three' AS text")
+    found = packing.pack(docs, budget=30, cell_rows=200)
+    rows = found.collect()
+    assert len(rows) == 6000 and sum(r.doc_id is None or r.doc_id == 7 for r in rows) == 2000
+    check(rows, 30)
+    # Places of the hot id spread over the whole bucket.
+    places = sorted(r.batch for r in rows if r.doc_id is None or r.doc_id == 7)
+    assert max(b - a for a, b in zip(places, places[1:])) < 40 and places[0] < 40 and places[-1] > 560
