@@ -7,10 +7,15 @@ saturated and grow. When lists settle, edges of at least ``COARSE`` (twice the t
 components; inside each, all pairs are compared in blocks of bounded size. So a dense cluster's links are counted
 exactly, however many there are, without being written out: a block returns counts and a spanning forest of its links.
 
-A bounded set of query vectors is then compared with all points by brute force. If they miss links, the search is
-repeated with further projections and its edges are added.
+The number of signs follows the largest label, so that few points share them, and the number of projections follows from
+it: a pair at the threshold shares all signs of one projection with a known chance, and must do so in one of them.
+
+A bounded set of query vectors is then compared with all points by brute force. Recall counts by query vector, and apart for
+vectors with few links, so a dense cluster cannot hide lost pairs. If it is below the goal, the search is repeated with further
+projections and its edges are added; if it stays below what is allowed, the search fails and says what it measured.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +28,22 @@ from riskspark.session import materialise
 
 THRESHOLD = 0.98
 COARSE = 2 * THRESHOLD**2 - 1
-TREES, BITS, NEXT = 5, 12, 4
+#: Points that share all signs of a projection, about; neighbours in its order that are taken; the chance that a pair at the threshold is met.
+SHARED, NEXT, MET = 4, 4, 0.99
 #: Members of a list, of a grown list, neighbours that are followed, rounds, and the share of new members that ends them.
 LIST, GROWN, FOLLOWED, ROUNDS, SETTLED = 10, 40, 4, 4, 0.002
 BLOCK = 1024
-#: Query vectors of the audit, its goal, and how often the search may be repeated for it.
-AUDIT, RECALL, REPEATS = 1000, 0.98, 3
+#: Query vectors of the audit, its goal, what is allowed in the end, and how often the search may run.
+AUDIT, RECALL, ALLOWED, TURNS = 1000, 0.98, 0.9, 5
+#: Vectors with at most so many links are also audited apart.
+FEW = 10
+
+
+def plan(rows: int, threshold: float) -> tuple[int, int]:
+    """Signs and projections for a label of ``rows`` points."""
+    bits = min(60, max(2, math.ceil(math.log2(max(rows, 1) / SHARED))))
+    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return bits, max(2, math.ceil(math.log(1 - MET) / math.log(1 - same))) if same < 1 else 2
 
 
 def usable(vector: str, label: str) -> Column:
@@ -49,28 +64,28 @@ def matrix(column: pa.Array) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def projections(points: DataFrame, trees: int, seed: int) -> DataFrame:
-    """Each point once per tree, with the signs of ``BITS`` random directions and one projection to sort by."""
+def projections(points: DataFrame, trees: int, bits: int, seed: int) -> DataFrame:
+    """Each point once per tree, with the signs of ``bits`` random directions and one projection to sort by."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions: dict[int, np.ndarray] = {}
         for batch in batches:
             vectors = matrix(batch.column(2))
             width = vectors.shape[1]
             if width not in directions:
-                directions[width] = np.random.default_rng([seed, width]).standard_normal((width, trees * (BITS + 1)))
-            seen = (vectors @ directions[width]).reshape(len(vectors), trees, BITS + 1)
-            signs = (seen[:, :, :BITS] > 0) @ (1 << np.arange(BITS))
+                directions[width] = np.random.default_rng([seed, width]).standard_normal((width, trees * (bits + 1)))
+            seen = (vectors @ directions[width]).reshape(len(vectors), trees, bits + 1)
+            signs = (seen[:, :, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64))
             for tree in range(trees):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(vectors), tree, np.int32)), pa.array(signs[:, tree].astype(np.int32)),
-                     pa.array(seen[:, tree, BITS]), batch.column(1), batch.column(2)],
+                    [batch.column(0), pa.array(np.full(len(vectors), tree, np.int32)), pa.array(signs[:, tree]),
+                     pa.array(seen[:, tree, bits]), batch.column(1), batch.column(2)],
                     names=["grp", "tree", "sign", "at", "rep", "vector"])
 
     kind = points.schema["vector"].dataType.simpleString()
-    return points.select("grp", "rep", "vector").mapInArrow(run, f"grp string, tree int, sign int, at double, rep long, vector {kind}")
+    return points.select("grp", "rep", "vector").mapInArrow(run, f"grp string, tree int, sign long, at double, rep long, vector {kind}")
 
 
-def start(points: DataFrame, trees: int, seed: int) -> DataFrame:
+def start(points: DataFrame, trees: int, bits: int, seed: int) -> DataFrame:
     """``u``, ``v``, ``sim`` of points that follow each other in a projection's order.
 
     The order is by range partitions, so one label or one dense cluster spreads over many tasks; pairs across a
@@ -94,7 +109,7 @@ def start(points: DataFrame, trees: int, seed: int) -> DataFrame:
             last = batch.slice(max(0, batch.num_rows - NEXT))
 
     order = ["grp", "tree", "sign", "at", "rep"]
-    ordered = projections(points, trees, seed).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = projections(points, trees, bits, seed).repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, "u long, v long, sim double").distinct()
 
 
@@ -191,7 +206,8 @@ def block_links(points: DataFrame, coarse: DataFrame, threshold: float, block: i
 
 
 def audit(points: DataFrame, counted: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the true links of at most about ``queries`` points that ``counted`` (``rep``, ``linked``) has found."""
+    """Recall over at most about ``queries`` points: the mean share of a point's true links that ``counted`` (``rep``, ``linked``)
+    has found, over all points with links or over those with few, whichever is less; 1 if no point has any."""
     share = min(1.0, queries / max(1, points.count()))
     chosen = points.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
     rows = chosen.select("grp", "rep", "vector").collect()  # bounded by the number of queries
@@ -213,15 +229,17 @@ def audit(points: DataFrame, counted: DataFrame, threshold: float, queries: int
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["rep", "links"])
 
     truth = points.select("grp", "rep", "copies", "vector").mapInArrow(run, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    row = truth.join(counted, "rep", "left").agg(F.sum("links").alias("links"), F.sum(F.coalesce("linked", F.lit(0))).alias("found")).first()
-    return 1.0 if not row["links"] else row["found"] / row["links"]
+    share_found = F.least(F.coalesce("linked", F.lit(0)) / F.col("links"), F.lit(1.0))
+    row = truth.where("links > 0").join(counted, "rep", "left").agg(
+        F.avg(share_found).alias("all"), F.avg(F.when(F.col("links") <= FEW, share_found)).alias("few")).first()
+    return min(1.0 if x is None else x for x in row)
 
 
 def near_vectors(
     rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", threshold: float = THRESHOLD,
-    trees: int = TREES, rounds: int = ROUNDS, block: int = BLOCK, queries: int = AUDIT,
+    trees: int | None = None, rounds: int = ROUNDS, block: int = BLOCK, queries: int = AUDIT,
 ) -> DataFrame:
-    """One row per input row: id, ``n_links``, ``component_id``, ``kept``.
+    """One row per input row: id, ``n_links``, ``component_id``, ``kept``, ``audited_recall`` (one value, as measured at the end).
 
     Only rows with equal labels (and as many components) are compared. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null label or id, link with nothing and are kept. Identical vectors link with
@@ -232,18 +250,23 @@ def near_vectors(
     named = rows.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), F.col(label_column).alias("label"))
     able = named.where(usable("vector", "label") & F.col("id").isNotNull()).withColumn("grp", F.concat_ws(":", F.size("vector").cast("string"), F.col("label").cast("string")))
     points = materialise(able.groupBy("grp", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "points")
-    edges = None
-    for turn in range(REPEATS):
-        more = descend(points, start(points, trees * (turn + 1), 17 + turn), threshold, rounds)
+    largest = points.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    bits, needed = plan(largest, threshold)
+    edges, recall = None, 0.0
+    for turn in range(TURNS):
+        more = descend(points, start(points, trees or needed * (turn + 1), bits, 17 + turn), threshold, rounds)
         edges = materialise(more if edges is None else _ordered(edges.unionByName(more)), "edges")
         near = connected_components(edges.where(F.col("sim") >= coarse_threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
         found = materialise(block_links(points, near.withColumnRenamed("node", "rep"), threshold, block), "links")
         counted = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-        if audit(points, counted, threshold, queries) >= RECALL:
+        recall = audit(points, counted, threshold, queries)
+        if recall >= RECALL:
             break
+    if recall < ALLOWED:
+        raise RuntimeError(f"the search found {recall:.3f} of the links of {queries} query vectors; {ALLOWED} are required")
     components = connected_components(found.select(F.col("rep").alias("a"), F.col("parent").alias("b"))).withColumnRenamed("node", "rep")
     classes = points.join(counted, "rep", "left").join(components, "rep", "left").select(
         "grp", "vector", F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.coalesce("component", "rep")).toDF("grp", "vector", "links", "component")
     apart = named.where(~(usable("vector", "label") & F.col("id").isNotNull())).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     joined = able.join(classes, ["grp", "vector"]).select("id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
-    return joined.unionByName(apart).select(F.col("id").alias(id_column), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined.unionByName(apart).select(F.col("id").alias(id_column), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("audited_recall"))

@@ -58,3 +58,32 @@ def test_audit_sees_missing_links(spark):
     df = spark.createDataFrame([(f"16:{lab}", i, 1, v) for i, v, lab in rows[:700]], "grp string, rep long, copies long, vector array<float>")
     none = spark.createDataFrame([], "rep long, linked long")
     assert descent.audit(df, none, descent.THRESHOLD) == 0.0
+
+
+def test_audit_is_not_fooled_by_a_dense_cluster(spark):
+    """A thousand vectors that link with each other are all found, lone pairs are not."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(16)
+    rows = [(i, centre + 0.01 * rng.standard_normal(16)) for i in range(1000)]
+    for i in range(1000, 1400, 2):
+        one = rng.standard_normal(16)
+        rows += [(i, one), (i + 1, one + 0.02 * rng.standard_normal(16))]
+    df = spark.createDataFrame([("16:1", i, 1, [float(x) for x in v]) for i, v in rows], "grp string, rep long, copies long, vector array<double>")
+    cluster_only = spark.createDataFrame([(i, 999) for i in range(1000)], "rep long, linked long")
+    assert descent.audit(df, cluster_only, descent.THRESHOLD, 2000) == 0.0
+    whole = cluster_only.unionByName(spark.createDataFrame([(i, 1) for i in range(1000, 1400)], "rep long, linked long"))
+    assert descent.audit(df, whole, descent.THRESHOLD, 2000) == 1.0
+
+
+def test_crippled_search_fails_aloud(spark, monkeypatch):
+    rows = vectors(2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(descent, "TURNS", 1)
+    monkeypatch.setattr(descent, "start", lambda points, *_: spark.createDataFrame([], "u long, v long, sim double"))
+    with pytest.raises(RuntimeError, match="query vectors"):
+        descent.near_vectors(df)
+
+
+def test_signs_and_projections_follow_the_label():
+    sizes = [descent.plan(n, descent.THRESHOLD) for n in (0, 1, 2_000, 20_000, 1_000_000, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == (2, 3) and sizes[4][0] == 18 and sizes[4][1] >= 12
