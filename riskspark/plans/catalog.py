@@ -1224,5 +1224,5 @@ def stream_late_split(spark, sf):
     dealt = orders.withColumn("turn", F.when(held, F.array(F.lit(3))).when(again, F.array(part, part + 1)).otherwise(F.array(part)))
     stream = _in_turn(spark, dealt.withColumn("turn", F.explode("turn")), F.col("turn"), 4).drop("turn")
     path = scratch_path(spark, "late")
-    late.split_late(stream, "o_orderkey", "at", timedelta(days=30), path, scratch_path(spark, "late-state")).awaitTermination()
+    late.split_late(stream, "o_orderkey", "at", timedelta(days=30), path, scratch_path(spark, "late-state"), "month").awaitTermination()
     return late.read_split(spark, path, "o_orderkey bigint, at timestamp").select("o_orderkey", "late")

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import features
@@ -78,7 +79,8 @@ def test_streaming_windows_and_sessions_equal_batch(spark, tmp_path):
     assert drained("windows", lambda s: bursts.burst_windows(s, "key", "at", "1 minute", "20 seconds", "1 minute")) == windows
 
 
-def test_late_rows_have_their_own_table(spark, tmp_path):
+@pytest.mark.parametrize("period", ["day", "month"])
+def test_late_rows_have_their_own_table(spark, tmp_path, period):
     """Late rows, repeats within a batch and across batches, rows without a time, and a replayed batch."""
     def batch(*rows):
         return spark.createDataFrame([(i, None if d is None else datetime(2024, 1, d)) for i, d in rows], "id string, at timestamp")
@@ -86,7 +88,7 @@ def test_late_rows_have_their_own_table(spark, tmp_path):
     path = str(tmp_path / "split")
     deliveries = [batch(("a", 1), ("a", 1), ("b", 10)), batch(("b", 10), ("c", 12), ("old", 2), ("edge", 5)), batch(("d", 20), ("c", 12), ("none", None), ("b", 10)), batch()]
     for batch_id in (0, 1, 2, 1, 2, 3):
-        late.split_batch(deliveries[batch_id], batch_id, "id", "at", timedelta(days=5), path)
+        late.split_batch(deliveries[batch_id], batch_id, "id", "at", timedelta(days=5), path, period)
     got = sorted((r.late, r.id) for r in late.read_split(spark, path, "id string, at timestamp").collect())
     # After the third batch the mark is the 7th: b and c are repeats within its reach.
     assert got == [(False, i) for i in ("a", "b", "c", "d", "edge")] + [(True, i) for i in ("none", "old")]
