@@ -30,12 +30,10 @@ def running_totals(df: DataFrame, value: str, totals: dict, by: Sequence[str] =
     """
     names, keys = list(totals), [*by, value]
     grouped = numeric(df, value).groupBy(*keys).agg(*[aggregate.alias(name) for name, aggregate in totals.items()])
-    groups = materialise(grouped, "groups")
-    ranges = -(-groups.count() // range_rows)
-    if ranges <= 1:
-        ordered = groups.withColumn("_range", F.lit(0))
-    else:
-        placed = groups.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id())
+    ordered = materialise(grouped.withColumn("_range", F.lit(0)), "groups")
+    ranges = -(-ordered.count() // range_rows)
+    if ranges > 1:
+        placed = ordered.drop("_range").repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id())
         ordered = materialise(placed, "ranges")
     before = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(*before)
