@@ -70,3 +70,14 @@ def test_adaptive_execution_splits_a_hot_quote(spark):
     finally:
         for key, value in old.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_a_query_bounds_what_a_task_takes(spark, sf_dir):
+    """By default 200 partitions share a shuffle of any size, so a task's sort grows with the tables."""
+    from riskspark.session import PARTITIONS
+
+    for key in PARTITIONS:
+        spark.conf.unset(key)
+    catalog.QUERIES["policy_tier"](spark, sf_dir)
+    assert {key: spark.conf.get(key) for key in PARTITIONS} == PARTITIONS
+    assert int(PARTITIONS["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]) > 200
