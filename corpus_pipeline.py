@@ -39,7 +39,11 @@ def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts connected by five-word shingles of similarity 0.8 or more the row with the smallest id stays."""
+    """Of texts connected by five-word shingles of similarity 0.8 or more the row with the smallest id stays.
+
+    Candidates are the links of op2's fingerprints and pigeonring chains, here over five words, and those of a wider search;
+    all are compared exactly.
+    """
     prepare(spark)
     return without(docs, similar.near_texts(docs).where("component_id <> doc_id").select("doc_id"))
 

@@ -1,12 +1,15 @@
 """Near-duplicate texts by the Jaccard similarity of their word shingles.
 
-Texts with one set of shingles collapse to a class first. Each class has ``BANDS`` keys of ``ROWS`` minima of its hashed
-shingles; two classes of similarity s share a key with chance 1 - (1 - s^ROWS)^BANDS, so a pair at 0.8 is missed with a
-chance of 4e-7. (Fingerprints of 64 bits put such pairs some ten bits apart, up to about twenty, where pigeonring keys no
-longer tell them from unrelated texts.) Every candidate is compared by its whole set of shingles (hashes of 64 bits) before it links.
+Texts with one set of shingles collapse to a class first. Candidates come in two ways, and every one is compared by its whole
+set of shingles (hashes of 64 bits) before it links:
 
-First each member of a key is compared with the key's least member, which joins most of a dense cluster at a cost linear
-in its size. Then, where a key's members are still in several components, all members of different components are
+* Classes whose 64-bit fingerprints over the same shingles are equal or a few bits apart, by the pigeonring chains of ``simhash``.
+* Fingerprints of a pair at 0.8 are some ten bits apart, up to about twenty, where pigeonring keys no longer tell it from
+  unrelated texts. So each class also has ``BANDS`` keys of ``ROWS`` minima of its hashed shingles; two classes of similarity s
+  share a key with chance 1 - (1 - s^ROWS)^BANDS, so a pair at 0.8 is missed with a chance of 4e-7.
+
+First the fingerprints' links, and each member of a key with the key's least member, are compared, which joins most of a dense
+cluster at a cost linear in its size. Then, where a key's members are still in several components, all members of different components are
 compared in their task: products of shingle columns count what two texts share, and a spanning forest of the links comes
 back, not the pairs. Keys over ``BLOCK`` members or ``BLOCK * USUAL`` shingles, as a common passage makes them, are cut into
 blocks whose pairs are groups of their own. A pair within one component needs no comparison, as only connections count.
@@ -20,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.llm import simhash
 from riskspark.llm.common import ASCII_LOWER, sized
 from riskspark.llm.components import connected_components
 from riskspark.session import materialise
@@ -56,11 +60,13 @@ def _signed(values: list[int]) -> pa.Array:
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t or b"", width) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [sketch(t or b"", width) for t in texts]
+            prints = pa.array(np.fromiter((simhash.fingerprint(t or b"", width) for t in texts), np.uint64, len(texts)).view(np.int64))
             keys = pa.FixedSizeListArray.from_arrays(_signed([k for _, own, _ in found for k in own]), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed([c for c, _, _ in found]), keys, pa.array([len(h) for _, _, h in found], pa.int64())], names=["doc_id", "cls", "keys", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed([c for c, _, _ in found]), keys, pa.array([len(h) for _, _, h in found], pa.int64()), prints], names=["doc_id", "cls", "keys", "size", "print"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, keys array<long>, size long")
+    return docs.mapInArrow(run, "doc_id long, cls long, keys array<long>, size long, print long")
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -134,6 +140,13 @@ def _within(members: DataFrame, similarity: float) -> DataFrame:
     return groups.select("members").mapInArrow(_block_links(similarity), "a long, b long").distinct()
 
 
+def _ring(owned: DataFrame, block: int) -> DataFrame:
+    """``a``, ``b``: classes whose fingerprints link, enough to connect all that do. ``owned`` has ``cls``, ``print`` and ``doc_id``."""
+    reps = materialise(owned.groupBy("print").agg(F.min("cls").alias("rep")), "prints")
+    equal = owned.join(reps, "print").where("cls <> rep").select(F.col("rep").alias("a"), F.col("cls").alias("b"))
+    return simhash.links(reps, block).unionByName(equal).where("a <> b").distinct()
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) of classes whose similarity is at least ``similarity``."""
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
@@ -156,15 +169,18 @@ def near_texts(
     keyed = materialise(classes.select("cls", "doc_id", "size", F.explode("keys").alias("key")), "keyed")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("least")).where("n > 1")
     members = materialise(keyed.join(shared.drop("n"), "key"), "members")
-    ids = members.select("doc_id", "cls").distinct()
-    wanted = materialise(ids, "wanted")
+    # A class counts a shingle once, a fingerprint as often as it occurs, so one class may have several fingerprints.
+    owned = materialise(marked.where("doc_id IS NOT NULL").groupBy("cls", "print").agg(F.min("doc_id").alias("doc_id")), "owned")
+    ring = materialise(_ring(owned, block), "ring")
+    ringed = owned.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(ring.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+    wanted = materialise(members.select("doc_id", "cls").unionByName(ringed).distinct(), "wanted")
     n = wanted.count()
     # An id may have several texts, so a text is told by its class as well.
     held = rows.join(sized(wanted.select("doc_id").distinct(), n), "doc_id", "left_semi").mapInArrow(
         lambda batches: _hashes(batches, width), "cls long, hashes array<long>")
     sets = materialise(held.join(sized(wanted.select("cls"), n), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-    stars = members.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
-    linked = materialise(_compared(stars, sets, similarity), "linked")
+    stars = members.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    linked = materialise(_compared(stars.unionByName(ring).distinct(), sets, similarity), "linked")
     found = connected_components(linked)
     placed = materialise(members.select("key", "cls", "size").join(found.withColumnRenamed("node", "cls"), "cls", "left").select(
         "key", "cls", "size", F.coalesce("component", "cls").alias("component")), "placed")

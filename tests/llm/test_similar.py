@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from riskspark.llm import similar
+from riskspark.llm import simhash, similar
 from riskspark.session import materialise
 from tests.llm.test_components import brute as components
 
@@ -63,3 +63,23 @@ def test_odd_rows(odd, odd_texts, nothing):
     assert {r.component_id for r in found if r.doc_id in (4, 5)} == {4}
     assert [r.component_id for r in found if r.doc_id is None] == [None]
     assert similar.near_texts(nothing).count() == 0
+
+
+def test_fingerprints_of_five_words_link_by_pigeonring(spark, texts, monkeypatch):
+    """The ring's links connect what fingerprints at three bits or fewer do, and all of them are compared."""
+    rings, compared = [], []
+    links, check = simhash.links, similar._compared
+    monkeypatch.setattr(simhash, "links", lambda classes, block: rings.append(materialise(links(classes, block), "test")) or rings[-1])
+    monkeypatch.setattr(similar, "_compared", lambda pairs, *rest: compared.append(materialise(pairs, "test")) or check(compared[-1], *rest))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar.near_texts(docs).collect()} == expected(texts)
+    prints = {}
+    for text in texts.values():
+        own = similar.sketch(text.encode())[0]
+        own -= (own >> 63) << 64
+        prints.setdefault(simhash.fingerprint(text.encode(), similar.WIDTH), []).append(own)
+    least = {p: min(own) for p, own in prints.items()}
+    near = [(least[a], least[b]) for a in least for b in least if a < b and (a ^ b).bit_count() <= simhash.DISTANCE]
+    found = [(r.a, r.b) for r in rings[0].collect()]
+    assert near and components(found) == components(near)
+    assert {frozenset(p) for p in found} <= {frozenset((r.a, r.b)) for r in compared[0].collect()}
