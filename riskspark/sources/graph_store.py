@@ -1,8 +1,8 @@
 """The graph as keyed tables that grow by batches: an upsert is a write of its own, merged when read.
 
 A batch owns its folders and overwrites them, so a replay changes nothing, and no older batch is rewritten. Nodes are
-partitioned by label and edges by type, and within them rows are clustered by key bucket, so merging a few batches
-shuffles keys that are already near each other. ``compact`` folds all batches into one.
+partitioned by label and edges by type. A batch is written as it comes, without a shuffle. Reading deals the rows of all batches
+by ranges of their key, which serves the merge too; ``compact`` writes these ranges, each in order, as one batch.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +17,13 @@ SET_BY_NEWEST = ["is_fraud", "state", "make", "model", "year"]
 EDGE_KEY = ["src", "dst", "rel_type", "attr_type", "src_label"]
 
 
-def upsert(nodes: DataFrame, edges: DataFrame, path: str, batch_id: int) -> None:
-    """Add one batch of nodes and edges, each unique within the batch. Existing ones are met by key when read."""
-    for rows, name, key, kind in ((nodes, "nodes", "node_id", "label"), (edges, "edges", "src", "rel_type")):
-        clustered = rows.repartition(kind, F.pmod(F.xxhash64(key), F.lit(_buckets(rows.sparkSession)))).sortWithinPartitions(kind, key)
-        clustered.write.mode("overwrite").partitionBy(kind).parquet(f"{path}/{name}/batch_id={batch_id}")
+PARTS = (("nodes", "node_id", "label"), ("edges", "src", "rel_type"))
 
 
-def _buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def upsert(nodes: DataFrame, edges: DataFrame, path: str, batch_id: int) -> None:
+    """Add one batch of nodes and edges, each unique within the batch. Existing ones are met by key when read."""
+    for rows, (name, _, kind) in zip((nodes, edges), PARTS):
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy(kind).parquet(f"{path}/{name}/batch_id={batch_id}")
 
 
 def _batches(spark: SparkSession, path: str) -> int:
@@ -42,16 +40,17 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
     if _batches(spark, f"{path}/nodes") == 1:
         return rows.select(columns)
     newest = F.max_by(F.struct(*SET_BY_NEWEST), "batch_id").alias("newest")
-    merged = rows.groupBy("label", "node_id").agg(newest, F.min("attr_type").alias("attr_type"), F.min("attr_value").alias("attr_value"))
+    merged = rows.repartitionByRange("label", "node_id").groupBy("label", "node_id").agg(newest, F.min("attr_type").alias("attr_type"), F.min("attr_value").alias("attr_value"))
     return merged.select("node_id", "label", *[f"newest.{c}" for c in SET_BY_NEWEST], "attr_type", "attr_value")
 
 
 def edges(spark: SparkSession, path: str) -> DataFrame:
     """Every edge once. Nothing removes an edge: a claim that changes its vehicle keeps the link to the first."""
     rows = read(spark, f"{path}/edges", EDGES, "the graph load").select(EDGE_KEY)
-    return rows if _batches(spark, f"{path}/edges") == 1 else rows.distinct()
+    return rows if _batches(spark, f"{path}/edges") == 1 else rows.repartitionByRange("rel_type", "src").distinct()
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Write the merged graph as the first batch of a new store; swap paths once it is complete."""
-    upsert(nodes(spark, path), edges(spark, path), target, 0)
+    """Write the merged graph as the first batch of a new store, in order within its files; swap paths once it is complete."""
+    merged = [rows.sortWithinPartitions(kind, key) for rows, (_, key, kind) in zip((nodes(spark, path), edges(spark, path)), PARTS)]
+    upsert(*merged, target, 0)
